@@ -184,11 +184,11 @@ q("a7_conditional_count", m.sql("SELECT police_station, count(*) FILTER (WHERE g
     lambda s, d: m.cases(s, d, ["police_station", "gravity"]).groupBy("police_station").agg(
         F.count_if(F.col("gravity") == "Heinous").alias("heinous"), N("total")))
 
-q("a8_mean_of_max", "SELECT o_custkey, round(avg(top), 4) AS mean_top FROM (SELECT o_custkey, o_orderkey, max(l_extendedprice) AS top "
+q("a8_mean_of_max", "SELECT o_custkey, round(avg(top), 8) AS mean_top FROM (SELECT o_custkey, o_orderkey, max(l_extendedprice) AS top "
                     "FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY o_custkey")(
     lambda s, d: m.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("top"))
     .join(m.table(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    .groupBy("o_custkey").agg(F.round(F.avg("top"), 4).alias("mean_top")))
+    .groupBy("o_custkey").agg(F.round(F.avg("top"), 8).alias("mean_top")))
 
 q("a9_mode", "SELECT l_suppkey, l_returnflag AS flag FROM (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY "
              "l_suppkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag) WHERE r = 1")(
@@ -208,7 +208,7 @@ q("a11_centroid", m.sql("SELECT district, round(avg(latitude), 6) AS lat, round(
                                 "count(*) AS n FROM case_360 GROUP BY 1)"))
 def _a12(s, d):
     per = m.cases(s, d, ["police_station"]).groupBy("police_station").agg(N())
-    return per.select("police_station", "n", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 3).alias("intensity"))
+    return per.select("police_station", "n", F.round(F.col("n") / per.agg(F.max("n")).scalar(), 3).alias("intensity"))
 
 
 q("a13_weighted_sum", "SELECT l_suppkey, round(sum(l_quantity * (1 - l_discount)), 2) AS support FROM lineitem GROUP BY l_suppkey")(
@@ -261,9 +261,13 @@ q("w5_numbered_ids", "SELECT 'SH-' || lpad(CAST(r AS VARCHAR), 2, '0') AS id, n_
         .groupBy("n_name").agg(F.round(F.sum("c_acctbal"), 2).alias("bal")), [F.desc("bal"), "n_name"], "SH-%02d")
     .select("id", "n_name", "bal"))
 
+def _w6(s, d):
+    per = m.table(s, d, "events").groupBy("event_type").agg(N())
+    return per.withColumn("total", per.agg(F.sum("n")).scalar())
+
+
 q("w6_global_total", "SELECT event_type, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM events GROUP BY event_type")(
-    lambda s, d: m.table(s, d, "events").groupBy("event_type").agg(N())
-    .withColumn("total", F.sum("n").over(Window.partitionBy())))
+    _w6)
 
 q("w7_best_per_partition", "SELECT c_mktsegment, c_custkey, n FROM (SELECT c_mktsegment, c_custkey, count(*) AS n, row_number() OVER "
                            "(PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_custkey) r FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey) WHERE r = 1")(

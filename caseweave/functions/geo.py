@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from .fixed_values import EARTH_RADIUS_KM
-from .text import _col
+from .text import _col, let
 
 # Published mean hexagon edge at resolution 8; each step scales by sqrt(7).
 EDGE_KM_RES8 = 0.531414
@@ -107,13 +107,12 @@ def radius_key(lat, lon, km: float) -> Column:
 
 def radius_probe_keys(lat, lon, km: float) -> Column:
     """Up to nine keys under which all partners of a point are found, each once."""
-    band, lon_c = lat_band(lat, km), _col(lon)
+    lon_c = _col(lon)
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
 
-    def in_band(offset: int) -> Column:
-        target = band + offset
-        n = _lon_cells(target, km)
-        cell = _lon_cell(lon_c, n)
-        return F.array(*[F.struct(target.alias("band"), F.pmod(cell + d, n).alias("cell"))
-                         for d in (-1, 0, 1)])
+    def in_band(target: Column) -> Column:
+        return let(_lon_cells(target, km), lambda n: let(_lon_cell(lon_c, n), lambda cell: F.transform(
+            steps, lambda d: F.struct(target.alias("band"), F.pmod(cell + d, n).alias("cell")))))
 
-    return F.array_distinct(F.concat(in_band(-1), in_band(0), in_band(1)))
+    return F.array_distinct(F.flatten(let(lat_band(lat, km), lambda band: F.transform(
+        steps, lambda o: in_band(band + o)))))

@@ -93,11 +93,14 @@ def clip(text: Column | str, length: int = 160) -> Column:
     return F.substring(F.coalesce(_col(text), F.lit("")), 1, length)
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def extract_sql(message: Column | str) -> Column:
     """SQL inside a message: the first code fence if any, from the first WITH/SELECT on."""
-    text = F.trim(F.coalesce(_col(message), F.lit("")))
+    text = _strip(F.coalesce(_col(message), F.lit("")))
     fenced = F.regexp_extract(text, r"(?is)```(?:sql)?\s*(.+?)```", 1)
-    body = F.when(F.length(fenced) > 0, F.trim(fenced)).otherwise(text)
+    body = F.when(F.length(fenced) > 0, _strip(fenced)).otherwise(text)
     start = F.regexp_extract(body, r"(?is)\b(?:WITH|SELECT)\b.*", 0)
-    return F.trim(F.regexp_replace(
-        F.trim(F.when(F.length(start) > 0, start).otherwise(body)), r";+$", ""))
+    return F.regexp_replace(F.when(F.length(start) > 0, start).otherwise(body), r"\s*;*\s*$", "")

@@ -45,10 +45,10 @@ def serial_within(df: DataFrame, group: Sequence[str], by: Sequence[Column | str
 
 
 def numbered(df: DataFrame, by: Sequence[Column | str], pattern: str, name: str = "id",
-             rank: str = "rank") -> DataFrame:
-    """Ids like SH-01 by rank over a short result (leads, series headers)."""
-    out = df.withColumn(rank, F.row_number().over(Window.orderBy(*_order(by))))
-    return out.withColumn(name, F.format_string(pattern, F.col(rank)))
+             rank: str = "rank", bucket: Column | None = None) -> DataFrame:
+    """Ids like SH-01 by rank. Short results (leads) need no bucket; for long ones pass a
+    column that never decreases along the order, see serial_within."""
+    return serial_within(df, [], by, rank, bucket).withColumn(name, F.format_string(pattern, F.col(rank)))
 
 
 def capped(df: DataFrame, cap: int) -> tuple[DataFrame, bool]:
