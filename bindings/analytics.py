@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -25,16 +26,13 @@ RES = 6  # the derived points cover a region of 660 by 430 km; edge about 3.7 km
 
 def hex_sql(lat: str, lon: str, res: int = RES) -> str:
     """Axial hexagon id by the same formulas."""
-    size, r = repr(geo.edge_km(res)), "6371.0::DOUBLE"
-    k = "cos(radians(15.0::DOUBLE))"
-    qf = f"({r} * radians({lon}) * {k} * (2.0::DOUBLE / 3.0::DOUBLE) / {size}::DOUBLE)"
-    rf = f"(({r} * radians({lat}) * sqrt(3.0::DOUBLE) / 3.0::DOUBLE - {r} * radians({lon}) * {k} / 3.0::DOUBLE) / {size}::DOUBLE)"
-    n = lambda e: f"floor({e} + 0.5)"
-    sf = f"(-{qf} - {rf})"
-    dq, dr, ds = f"abs({n(qf)} - {qf})", f"abs({n(rf)} - {rf})", f"abs({n(sf)} - {sf})"
-    cq = f"CASE WHEN {dq} > {dr} AND {dq} > {ds} THEN -{n(rf)} - {n(sf)} ELSE {n(qf)} END"
-    cr = f"CASE WHEN {dq} > {dr} AND {dq} > {ds} THEN {n(rf)} WHEN {dr} > {ds} THEN -{n(qf)} - {n(sf)} ELSE {n(rf)} END"
-    return f"('{res}:' || CAST(CAST({cq} AS BIGINT) AS VARCHAR) || ':' || CAST(CAST({cr} AS BIGINT) AS VARCHAR))"
+    size, third, root = geo.edge_km(res), 1.0 / 3.0, math.sqrt(3.0)
+    x = f"(6371.0::DOUBLE * radians({lon}) * {math.cos(math.radians(15.0))!r}::DOUBLE)"
+    y = f"(6371.0::DOUBLE * radians({lat}))"
+    qf = f"({x} * {2.0 / 3.0 / size!r}::DOUBLE)"
+    rf = f"({y} * {root / 3.0 / size!r}::DOUBLE - {x} * {third / size!r}::DOUBLE)"
+    steps = lambda a, b: f"CAST(floor((floor({a}) + floor({b}) + 2) / 3) AS BIGINT)"
+    return f"('{res}:' || {steps(f'{qf} - {rf}', f'{qf} * 2 + {rf}')} || ':' || {steps(f'{rf} - {qf}', f'{rf} * 2 + {qf}')})"
 
 
 q("sp1_hex_cell", m.sql(f"SELECT case_id, {hex_sql('latitude', 'longitude')} AS cell FROM case_360"))(

@@ -35,10 +35,6 @@ def _plane(lat: Column, lon: Column, lat0: float) -> tuple[Column, Column]:
     return x, y
 
 
-def _nearest(c: Column) -> Column:
-    return F.floor(c + 0.5)
-
-
 def hex_axial(lat, lon, resolution: int = 8, lat0: float = REFERENCE_LATITUDE) -> Column:
     """Axial coordinates struct(q, r) of the flat-top hexagon holding a point.
 
@@ -47,12 +43,12 @@ def hex_axial(lat, lon, resolution: int = 8, lat0: float = REFERENCE_LATITUDE) -
     la, lo = _col(lat).cast("double"), _col(lon).cast("double")
     x, y = _plane(la, lo, lat0)
     size = edge_km(resolution)
-    q, r = x * (2.0 / 3.0) / size, (y * math.sqrt(3.0) / 3.0 - x / 3.0) / size
-    s = -q - r
-    rq, rr, rs = _nearest(q), _nearest(r), _nearest(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    cell_q = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    cell_r = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
+    q, r = x * (2.0 / 3.0 / size), y * (math.sqrt(3.0) / 3.0 / size) - x * (1.0 / 3.0 / size)
+    # With s = -q - r, the hexagon around the origin is where q-r, r-s and s-q all lie
+    # between -1 and 1. One step in q moves (q-r) + (q-s) by three, so whole steps can be
+    # counted with floors; likewise for r.
+    third = lambda a, b: F.floor((F.floor(a) + F.floor(b) + 2) / 3)
+    cell_q, cell_r = third(q - r, q * 2 + r), third(r - q, r * 2 + q)
     valid = la.between(-90, 90) & lo.between(-180, 180)
     return F.when(valid, F.struct(cell_q.cast("long").alias("q"), cell_r.cast("long").alias("r")))
 
@@ -60,19 +56,20 @@ def hex_axial(lat, lon, resolution: int = 8, lat0: float = REFERENCE_LATITUDE) -
 def hex_cell(lat, lon, resolution: int = 8, lat0: float = REFERENCE_LATITUDE) -> Column:
     """Cell id 'resolution:q:r'."""
     a = hex_axial(lat, lon, resolution, lat0)
-    return F.when(a.isNotNull(), F.concat_ws(":", F.lit(str(resolution)),
-                                             a["q"].cast("string"), a["r"].cast("string")))
+    text = F.concat(F.lit(f"{resolution}:"), a["q"].cast("string"), F.lit(":"), a["r"].cast("string"))
+    return F.when(a.isNotNull(), text)
 
 
 def hex_centre(cell: Column | str, lat0: float = REFERENCE_LATITUDE) -> Column:
     """Centre of a cell as struct(lat, lon), read from the id alone."""
-    part = F.split(_col(cell), ":")
-    res, q, r = part[0].cast("int"), part[1].cast("double"), part[2].cast("double")
-    size = EDGE_KM_RES8 * F.pow(F.lit(math.sqrt(7.0)), (F.lit(8) - res).cast("double"))
-    x, y = size * 1.5 * q, size * math.sqrt(3.0) * (r + q / 2)
-    lat = F.degrees(y / EARTH_RADIUS_KM)
-    lon = F.degrees(x / (EARTH_RADIUS_KM * math.cos(math.radians(lat0))))
-    return F.when(_col(cell).isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+    def place(part):
+        res, q, r = part[0].cast("int"), part[1].cast("double"), part[2].cast("double")
+        size = EDGE_KM_RES8 * F.pow(F.lit(math.sqrt(7.0)), (F.lit(8) - res).cast("double"))
+        x, y = size * 1.5 * q, size * math.sqrt(3.0) * (r + q / 2)
+        return F.struct(F.degrees(y / EARTH_RADIUS_KM).alias("lat"),
+                        F.degrees(x / (EARTH_RADIUS_KM * math.cos(math.radians(lat0)))).alias("lon"))
+
+    return F.when(_col(cell).isNotNull(), let(F.split(_col(cell), ":"), place))
 
 
 # --- keys for an exact radius join -------------------------------------------------
@@ -99,10 +96,17 @@ def _lon_cell(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / n)).cast("long"), n)
 
 
+def _packed(band: Column, cell: Column) -> Column:
+    return F.coalesce(band * 2 ** 32 + cell, F.lit(-1).cast("long"))
+
+
 def radius_key(lat, lon, km: float) -> Column:
-    """The one key struct(band, cell) of a point on the build side."""
-    band = lat_band(lat, km)
-    return F.struct(band.alias("band"), _lon_cell(_col(lon), _lon_cells(band, km)).alias("cell"))
+    """The one key of a point on the build side: band and cell packed into a number.
+
+    The inputs occur once in the expression and the key is never NULL, so filters inferred
+    by the optimizer from a join on it stay small.
+    """
+    return let(lat_band(lat, km), lambda band: _packed(band, _lon_cell(_col(lon), _lon_cells(band, km))))
 
 
 def radius_probe_keys(lat, lon, km: float) -> Column:
@@ -112,7 +116,7 @@ def radius_probe_keys(lat, lon, km: float) -> Column:
 
     def in_band(target: Column) -> Column:
         return let(_lon_cells(target, km), lambda n: let(_lon_cell(lon_c, n), lambda cell: F.transform(
-            steps, lambda d: F.struct(target.alias("band"), F.pmod(cell + d, n).alias("cell")))))
+            steps, lambda d: _packed(target, F.pmod(cell + d, n)))))
 
     return F.array_distinct(F.flatten(let(lat_band(lat, km), lambda band: F.transform(
         steps, lambda o: in_band(band + o)))))

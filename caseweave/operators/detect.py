@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
+from ..plans.lineage import cut
 from .ranking import numbered
 from .spatial import within_km
 
@@ -78,9 +79,11 @@ def repeat_pattern(candidates: DataFrame, fresh: DataFrame, person: str = "perso
 
     Homes that share a cell share its centre, and cases at one place share coordinates. So
     the radius join runs between distinct (cell, kind) and distinct (place, kind) with
-    counts, and neither a popular cell nor a popular place multiplies rows.
+    counts, and neither a popular cell nor a popular place multiplies rows. Both inputs
+    are written first: the candidates are read twice, and the optimizer sees plain columns.
     """
-    places = fresh.groupBy(kind, lat, lon).agg(F.count(F.lit(1)).alias("_n"))
+    candidates = cut(candidates, "candidates")
+    places = cut(fresh.groupBy(kind, lat, lon).agg(F.count(F.lit(1)).alias("_n")), "places")
     cells = candidates.select("home_cell", kind).distinct().withColumn("_c", geo.hex_centre("home_cell"))
     cells = cells.select("home_cell", F.col(kind).alias("_kind"), F.col("_c.lat").alias("_clat"), F.col("_c.lon").alias("_clon"))
     near = within_km(places, cells, km, lat, lon, "_clat", "_clon", also=((kind, "_kind"),))

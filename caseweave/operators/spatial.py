@@ -41,7 +41,7 @@ def within_km(points: DataFrame, centres: DataFrame, km: float, point_lat: str,
     c = centres.withColumn("_key", F.explode(geo.radius_probe_keys(centre_lat, centre_lon, km)))
     p = p.where(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()).alias("p")
     c = c.where(F.col(centre_lat).isNotNull() & F.col(centre_lon).isNotNull()).alias("c")
-    cond = (F.col("p._key.band") == F.col("c._key.band")) & (F.col("p._key.cell") == F.col("c._key.cell"))
+    cond = F.col("p._key") == F.col("c._key")
     for a, b in also:
         cond = cond & (F.col(f"p.{a}") == F.col(f"c.{b}"))
     if on is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.fixed_values import DEFAULT_INTENT, INTENT_KEYWORDS
+from ..plans.sizing import spread
 from .ranking import top_k_per_group
 
 # which slots an intent carries
@@ -46,7 +47,7 @@ def names_in_text(messages: DataFrame, message_id: str, text: str, names: DataFr
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     cut = lambda chars, n: F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")))
-    pieces = (messages.select(message_id, F.split(low, "").alias("_chars"), F.explode(lengths).alias("_len"))
+    pieces = (spread(messages, message_id).select(message_id, F.split(low, "").alias("_chars"), F.explode(lengths).alias("_len"))
               .where(F.size("_chars") >= F.col("_len"))
               .select(message_id, F.explode(cut(F.col("_chars"), F.col("_len"))).alias("_name")))
     return pieces.join(known, "_name").select(message_id, person)
