@@ -192,10 +192,10 @@ def _of_records(s, d):
     return members.join(series.select("component", "series_id"), "component").select("series_id", "case_id")
 
 
-@q("l11_feedback", m.sql("SELECT series_id, CASE WHEN component % 3 = 0 THEN 'confirmed' WHEN component % 3 = 1 THEN 'rejected' ELSE 'open' END AS status FROM series -- case_360", SERIES_CTE))
+@q("l11_feedback", m.sql("SELECT series_id, CASE crime_sub_head WHEN 'BUILDING' THEN 'confirmed' WHEN 'MACHINERY' THEN 'rejected' ELSE 'open' END AS status FROM series -- case_360", SERIES_CTE))
 def _feedback(s, d):
     _, _, series = _series(s, d)
-    verdict = F.when(F.col("component") % 3 == 0, "confirm").when(F.col("component") % 3 == 1, "reject")
+    verdict = F.when(F.col("crime_sub_head") == "BUILDING", "confirm").when(F.col("crime_sub_head") == "MACHINERY", "reject")
     # every series was first rejected, then judged again
     notes = series.select("series_id", F.lit("reject").alias("verdict"), F.lit(1).alias("ts"), verdict.alias("_v")).where("_v IS NOT NULL")
     notes = notes.drop("_v").unionByName(series.select("series_id", verdict.alias("verdict"), F.lit(2).alias("ts")).where("verdict IS NOT NULL"))

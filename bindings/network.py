@@ -17,7 +17,7 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 q = R.add
 
-HOME_RES = 5
+HOME_RES = 4
 
 
 def persons(s, d):
@@ -143,8 +143,8 @@ q("g12_community_of_case", m.sql("SELECT id, CASE WHEN id LIKE 'C-%' THEN 'case'
                                  "UNION SELECT 'C-5')" + TAG, EDGES, _comm,
                                  "mem AS (SELECT id FROM comm WHERE community = (SELECT community FROM comm WHERE id = (SELECT min(b) FROM edges WHERE a = 'C-5')))"))(
     lambda s, d: gr.communities_of_case(graph(s, d), _homes_membership(s, d), 5))
-q("g13_induced", m.sql("SELECT a, b, kind FROM edges WHERE a IN (SELECT 'P-' || person_key FROM registry WHERE person_key % 2 = 0) AND b IN (SELECT 'P-' || person_key FROM registry WHERE person_key % 2 = 0)" + TAG, EDGES))(
-    lambda s, d: gr.induced(graph(s, d), m.registry(s, d).where("person_key % 2 = 0").select(gr.person_id("person_key").alias("id"))).edges)
+q("g13_induced", m.sql("SELECT a, b, kind FROM edges WHERE a IN (SELECT 'P-' || person_key FROM registry WHERE home_lat >= 15.0) AND b IN (SELECT 'P-' || person_key FROM registry WHERE home_lat >= 15.0)" + TAG, EDGES))(
+    lambda s, d: gr.induced(graph(s, d), m.registry(s, d).where("home_lat >= 15.0").select(gr.person_id("person_key").alias("id"))).edges)
 q("g14_degree_by_kind", m.sql("SELECT id, kind, count(*) AS n FROM (SELECT a AS id, kind FROM edges UNION ALL SELECT b, kind FROM edges) GROUP BY ALL" + TAG, EDGES))(
     lambda s, d: gr.neighbours_by_kind(graph(s, d).edges))
 q("g14_spokes", m.sql("SELECT DISTINCT a AS id FROM edges WHERE b = 'P-7' AND kind IN ('accused_in', 'mule_account')" + TAG, EDGES))(

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx, geo, temporal as tm, text as tx, vectors as vec
 from ..functions.rounding import python_round
+from ..plans.lineage import cut
+from ..plans.sizing import spread
 from .neighbours import knn
 from .ranking import numbered, top_k_per_group
 from .score import refuse_denied
@@ -60,7 +62,9 @@ def text_vectors(df: DataFrame, text: str, dim: int = 256, n: int = 3, name: str
     chars = RegexTokenizer(inputCol="_text", outputCol="_chars", pattern="(?s)(.)", gaps=False, toLowercase=True)
     grams = NGram(n=n, inputCol="_chars", outputCol="_grams")
     counts = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_tf")
-    staged = counts.transform(grams.transform(chars.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))))
+    texts = spread(df, df.columns[0]).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    staged = counts.transform(grams.transform(chars.transform(texts))).select(*df.columns, "_tf")
+    staged = cut(staged, "term-counts")  # read twice: for the frequencies and for the weights
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(staged).transform(staged)
     unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
     return unit.select(*df.columns, vector_to_array("_unit").alias(name))

@@ -16,13 +16,18 @@ def audit_rows(spark: SparkSession, user_id: str, role: str, action: str, detail
         F.uuid().alias("audit_id"), F.current_timestamp().alias("ts"), F.lit(user_id).alias("user_id"),
         F.lit(role).alias("role"), F.lit(action).alias("action"),
         F.lit(json.dumps(detail, default=str)).alias("detail"),
-    ).withColumn("day", F.to_date("ts"))
+    )
+
+
+def append(rows: DataFrame, path: str, ts: str = "ts") -> None:
+    """Append audit rows to the table, which is partitioned by day."""
+    rows.withColumn("day", F.col(ts).cast("date")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_audit(spark: SparkSession, path: str, user_id: str, role: str, action: str, detail: Mapping) -> bool:
     """Best effort: a failing audit write never breaks the caller."""
     try:
-        audit_rows(spark, user_id, role, action, detail).write.mode("append").partitionBy("day").parquet(path)
+        append(audit_rows(spark, user_id, role, action, detail), path)
         return True
     except Exception as exc:  # noqa: BLE001
         log.warning("audit write failed: %s", exc)
