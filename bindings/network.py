@@ -77,6 +77,13 @@ def part_graph(s, d):
     return gr.Graph(nodes, edges)
 
 
+def part_pairs(s, d):
+    """The same graph with plain part numbers, which join faster than text ids."""
+    rows = m.table(s, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_partkey").alias("ord"))
+    return v.co_occurrence(rows, "l_orderkey", "l_partkey", "ord", "a", "b").select("a", "b").distinct()
+
+
+NUM_EDGES = """part_edges AS (SELECT DISTINCT x.l_partkey AS src, y.l_partkey AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey)"""
 PART_EDGES = """part_edges AS (SELECT DISTINCT 'P-' || x.l_partkey AS src, 'P-' || y.l_partkey AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey)"""
 
 
@@ -93,7 +100,7 @@ def _louvain_persons(s, d):
 
 def _levels(n):
     """Level-by-level shortest path counts and dependencies, written out for n levels."""
-    parts = [PART_EDGES, "src0 AS (SELECT src AS s FROM (SELECT DISTINCT src FROM part_edges) ORDER BY md5(src || '|42'), src LIMIT 16)",
+    parts = [NUM_EDGES, "src0 AS (SELECT src AS s FROM (SELECT DISTINCT src FROM part_edges) ORDER BY md5(src || '|42'), src LIMIT 16)",
              "l0 AS (SELECT s, s AS v, 1.0::DOUBLE AS paths FROM src0)"]
     for i in range(1, n + 1):
         seen = " UNION ALL ".join(f"SELECT s, v FROM l{j}" for j in range(max(0, i - 2), i))
@@ -107,7 +114,7 @@ def _levels(n):
 
 
 q("g9_betweenness", m.sql("SELECT n.src AS id, round(coalesce(r.delta, 0.0) / (SELECT max(delta) FROM raw), 6) AS centrality FROM (SELECT DISTINCT src FROM part_edges) n LEFT JOIN raw r ON r.v = n.src", *_levels(5)))(
-    lambda s, d: gr.betweenness(part_graph(s, d).edges, k=16).withColumn("centrality", F.round("centrality", 6)))
+    lambda s, d: gr.betweenness(part_pairs(s, d), k=16).withColumn("centrality", F.round("centrality", 6)))
 
 q("g10_ego_nodes", m.sql("SELECT 'P-7' AS id, 0 AS hops UNION ALL SELECT dst, 1 FROM both_ways WHERE src = 'P-7'" + TAG, EDGES))(
     lambda s, d: _ego_hops(s, d))

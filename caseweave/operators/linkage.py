@@ -120,6 +120,7 @@ def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rul
         F.floor(F.unix_date(F.col(fields.date).cast("date")) / (rules.max_days + 1)).cast("long").alias("bucket"))
     for f in must:
         rows = rows.where(_present(F.col(f)).isNotNull())
+    rows = spread(rows, "id")
     late = rows.withColumn("cell", geo.radius_key("lat", "lon", km))
     early = (rows.withColumn("cell", F.explode(geo.radius_probe_keys("lat", "lon", km)))
              .withColumn("look", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))))
@@ -151,6 +152,7 @@ def score_pairs(pairs: DataFrame, df: DataFrame, fields: Fields = Fields(), rule
     open_pairs = pairs.withColumn("_part", part)
     if threshold is not None:
         open_pairs = open_pairs.where(F.col("_part") + F.lit(w.get("cosine", 0.0)) >= threshold - 1e-9)
+    open_pairs = spread(open_pairs, "a", "b")
     vectors = df.select(F.col(fields.key).alias("_id"), vec.unit(fields.vector).alias("_v"))
     va, vb = vectors.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), vectors.select(F.col("_id").alias("b"), F.col("_v").alias("_vb"))
     scored = (open_pairs.join(va, "a").join(vb, "b").withColumn("cosine", vec.dot("_va", "_vb"))
