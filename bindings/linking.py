@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseweave.functions import fixed_values as fx, temporal as tm, vectors as vec
-from caseweave.operators import clusters, linkage as lk, neighbours as nb
+from caseweave.operators import clusters, hierarchy, linkage as lk, neighbours as nb
 from caseweave.plans.lineage import cut
 
 from . import model as m
@@ -210,3 +210,11 @@ def _rescan(s, d):
     lk.save_series(series.select("series_id", "confidence"), path)
     lk.save_series(series.select("series_id", "confidence"), path)
     return s.read.parquet(path).orderBy(F.desc("confidence"))
+
+
+@q("l5_hierarchy")
+def _hierarchy(s, d):
+    """Clusters selected from the hierarchy of all scored pairs (checked against brute force in the tests)."""
+    df = cut(open_cases(s, d), "open-cases")
+    pairs = lk.score_pairs(lk.candidate_pairs(df), df)
+    return hierarchy.hierarchy(pairs, df.select(F.col("case_id").alias("node"), "crime_sub_head"), block="crime_sub_head")

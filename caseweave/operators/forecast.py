@@ -116,7 +116,7 @@ def forecast(series: DataFrame, by: Sequence[str], name: str = "n", horizon: int
     by = list(by)
     tail = "step int, week date, mean double, lo double, hi double, status string"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week")
         y = pdf[name].to_numpy(dtype=float)
         if len(y) < min_weeks or y.sum() < min_total:
@@ -142,7 +142,7 @@ def backtest(series: DataFrame, by: Sequence[str], name: str = "n", holdout: int
     by = list(by)
     tail = "week date, predicted double"
 
-    def held_out(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def held_out(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week")
         y = pdf[name].to_numpy(dtype=float)
         empty = pd.DataFrame(columns=[*by, "week", "predicted"])
