@@ -85,3 +85,17 @@ EARTH_RADIUS_KM = 6371.0
 ROW_CAP = 500
 IDENTIFIER_PATTERN = r"\b\d{4,5}-\d[\dX]{3,}\b"
 CASE_KEY_FIRST_DIGITS = [1, 3, 4, 8]
+
+# Wording of explanations and case packs.
+SCORE_EXPLANATION = ("%d prior case(s); most recent %d days before the data cutoff; %d heinous; "
+                     "network centrality %.2f.")
+SCORE_NO_HISTORY = "No recorded case history."
+PACK_EVENT = "FIR registered — "
+PACK_SUSPECT_LEAD = "Prioritise surveillance of "
+PACK_SUSPECT_REASON = "Highest risk score %.3f"
+PACK_SIMILAR_LEAD = "Cross-check MO against similar historical cases for recovery leads"
+PACK_SIMILAR_REASON = "%d cases share the narrative MO signature (top similarity %.3f)."
+PACK_PRESENT_SOURCE = "BriefFacts / arrest records"
+PACK_MISSING_SOURCE = "not yet established — investigation gap"
+PACK_DEFAULT_WINDOW = "next 1-2 weeks"
+NO_COMMON_FEATURE = "recurring MO"

@@ -215,7 +215,7 @@ def summarise(members: DataFrame, df: DataFrame, fields: Fields = Fields(), seri
     label = {"tod": "time"}
     parts = [F.when(F.col(f).isNotNull(), F.concat(F.lit(label.get(f, f) + "="), F.col(f))) for f in shown]
     text = F.concat_ws("; ", *parts)
-    return stats.withColumn("summary", F.when(text == "", F.lit("recurring MO")).otherwise(text))
+    return stats.withColumn("summary", F.when(text == "", F.lit(fx.NO_COMMON_FEATURE)).otherwise(text))
 
 
 def assign_ids(series: DataFrame, key: str = "component", block: str = "crime_sub_head", pin: Column | None = None,

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import fixed_values as fx
 from ..functions.rounding import python_round
 from .ranking import numbered
 
@@ -12,7 +13,7 @@ from .ranking import numbered
 def timeline(members: DataFrame, cases: DataFrame, case: str = "case_id", ts: str = "registered",
              place: Sequence[str] = ("police_station", "district")) -> DataFrame:
     """(date, case, event) of a series in order of registration."""
-    event = F.concat(F.lit("FIR registered — "), F.concat_ws(", ", *place))
+    event = F.concat(F.lit(fx.PACK_EVENT), F.concat_ws(", ", *place))
     return (cases.join(members.select(case).distinct(), case, "left_semi")
             .select(F.col(ts).alias("date"), case, event.alias("event")).orderBy("date", case))
 
@@ -41,26 +42,26 @@ def elements_check(invoked: DataFrame, elements: DataFrame) -> DataFrame:
     gap = F.col("pos") == F.col("n_elements") - 1
     return invoked.select("section").join(F.broadcast(elements), "section").select(
         "section", "element", F.when(gap, "missing").otherwise("present").alias("status"),
-        F.when(gap, "not yet established — investigation gap").otherwise("BriefFacts / arrest records").alias("source"))
+        F.when(gap, fx.PACK_MISSING_SOURCE).otherwise(fx.PACK_PRESENT_SOURCE).alias("source"))
 
 
 def leads(suspect_rows: DataFrame, similar_rows: DataFrame, person: str = "person_key", name: str = "full_name", key: str = "case_id") -> DataFrame:
     """Numbered leads: first the top suspect, then the similar history (if any)."""
     first = suspect_rows.where(F.col("rank") == 1).select(
-        F.lit(0).alias("_o"), F.concat(F.lit("Prioritise surveillance of "), F.coalesce(name, F.col(person).cast("string")), F.lit(" ("),
+        F.lit(0).alias("_o"), F.concat(F.lit(fx.PACK_SUSPECT_LEAD), F.coalesce(name, F.col(person).cast("string")), F.lit(" ("),
                                        F.col(person).cast("string"), F.lit(")")).alias("lead"),
-        F.format_string("Highest risk score %.3f", "score").alias("rationale"))
+        F.format_string(fx.PACK_SUSPECT_REASON, "score").alias("rationale"))
     near = similar_rows.agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best")).where(F.col("n") > 0)
     second = near.select(
-        F.lit(1).alias("_o"), F.lit("Cross-check MO against similar historical cases for recovery leads").alias("lead"),
-        F.format_string("%d cases share the narrative MO signature (top similarity %.3f).", "n", "best").alias("rationale"))
+        F.lit(1).alias("_o"), F.lit(fx.PACK_SIMILAR_LEAD).alias("lead"),
+        F.format_string(fx.PACK_SIMILAR_REASON, "n", "best").alias("rationale"))
     return numbered(first.unionByName(second), ["_o"], "%d", "_t", "rank").select("rank", "lead", "rationale")
 
 
 def outlook(forecast_rows: DataFrame, areas: DataFrame) -> DataFrame:
     """Next window (first forecast week, or a default) beside each likely area."""
     week = forecast_rows.where((F.col("status") == "ok") & (F.col("step") == 1)).agg(F.min("week").cast("string")).scalar()
-    return areas.select(F.coalesce(week, F.lit("next 1-2 weeks")).alias("next_window"), "cell", "prob")
+    return areas.select(F.coalesce(week, F.lit(fx.PACK_DEFAULT_WINDOW)).alias("next_window"), "cell", "prob")
 
 
 def summary(series: DataFrame, suspect_rows: DataFrame, next_window: DataFrame | None = None) -> DataFrame:
@@ -70,6 +71,6 @@ def summary(series: DataFrame, suspect_rows: DataFrame, next_window: DataFrame |
     window = (next_window.agg(F.min("next_window")).scalar() if next_window is not None else F.lit(None).cast("string"))
     text = F.concat(F.lit("Series "), "series_id", F.lit(": "), "summary", F.lit(". "), F.col("size").cast("string"), F.lit(" linked cases across "),
                     F.array_join("districts", ", "), F.lit(" (confidence "), F.format_string("%.3f", "confidence"), F.lit("). "),
-                    F.coalesce(prime, F.lit("")), F.lit("Projected next activity window: "), F.coalesce(window, F.lit("next 1-2 weeks")), F.lit("."))
+                    F.coalesce(prime, F.lit("")), F.lit("Projected next activity window: "), F.coalesce(window, F.lit(fx.PACK_DEFAULT_WINDOW)), F.lit("."))
     return series.select("series_id", text.alias("summary"))
 

@@ -6,7 +6,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fixed_values import DENIED_FEATURES, SCORE_SATURATION, SCORE_TAU_DAYS, SCORE_WEIGHTS
+from ..functions.fixed_values import (
+    DENIED_FEATURES, SCORE_EXPLANATION, SCORE_NO_HISTORY, SCORE_SATURATION, SCORE_TAU_DAYS, SCORE_WEIGHTS)
 from ..functions.rounding import python_round
 
 
@@ -54,9 +55,8 @@ def entity_score(history: DataFrame, entity: str, as_of: dt.date, ts: str = "reg
 
 def explain(scores: DataFrame) -> DataFrame:
     """A sentence per scored entity."""
-    return scores.withColumn("explanation", F.when(F.col("n_cases") == 0, F.lit("No recorded case history.")).otherwise(
-        F.format_string("%d prior case(s); most recent %d days before the data cutoff; %d heinous; network centrality %.2f.",
-                        "n_cases", "days_since", "n_serious", "centrality")))
+    return scores.withColumn("explanation", F.when(F.col("n_cases") == 0, F.lit(SCORE_NO_HISTORY)).otherwise(
+        F.format_string(SCORE_EXPLANATION, "n_cases", "days_since", "n_serious", "centrality")))
 
 
 def rank(scores: DataFrame, entity: str, k: int = 10, min_rows: int = 2, prefilter: int | None = None) -> DataFrame:

@@ -1,27 +1,7 @@
-"""Size checks in front of broadcasts, and spreading of small scans."""
+"""Spreading of scans that arrive in few partitions."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-BROADCAST_ROW_BOUND = 200_000
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows; reads at most rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Broadcast hint only if the side was counted to be within ``bound``;
-    otherwise the frame is returned bare and Spark shuffles the join."""
-    return F.broadcast(df) if at_most(df, bound) else df
-
-
-def lookup(df: DataFrame) -> DataFrame:
-    """A dimension: no hint, so that Spark decides from table statistics and, at run
-    time, from the real size (adaptive execution) whether to broadcast it."""
-    return df
-
+from pyspark.sql import DataFrame
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread a scan that arrives in fewer partitions than there are cores.

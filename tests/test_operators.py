@@ -205,10 +205,11 @@ def test_forecast_beats_its_bound_and_marks_thin_series(spark):
 ALLOWED = {"case_360"}
 
 
-@pytest.mark.parametrize("bad", ["DELETE FROM case_360", "UPDATE case_360 SET n = 1", "INSERT INTO case_360 VALUES (1)", "DROP TABLE case_360", "CREATE TABLE hack (id INT)",
-                                 "ALTER TABLE case_360 ADD COLUMN x INT", "SELECT 1 FROM case_360; DROP TABLE case_360", "SELECT * FROM secret", "", "SELECT * FROM parquet.`/tmp/x`",
-                                 "SELECT * FROM case_360 WHERE n IN (SELECT n FROM secret)", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SET spark.x=1", "SHOW TABLES",
-                                 "SELECT reflect('java.lang.System', 'exit', 1) FROM case_360", "EXPLAIN SELECT * FROM case_360"])
+@pytest.mark.parametrize("bad", [
+    "", "DELETE FROM case_360 WHERE n > 1", "UPDATE case_360 SET n = n + 1", "INSERT INTO case_360 SELECT 1", "TRUNCATE TABLE case_360", "DROP VIEW case_360",
+    "CREATE TABLE copied AS SELECT * FROM case_360", "ALTER TABLE case_360 RENAME TO other", "SELECT n FROM case_360; SELECT n FROM case_360", "SELECT * FROM payroll",
+    "SELECT * FROM parquet.`/data/x`", "SELECT * FROM case_360 WHERE n IN (SELECT n FROM payroll)", "WITH a AS (SELECT * FROM payroll) SELECT * FROM a", "SET spark.x=1",
+    "SHOW TABLES", "SELECT reflect('java.lang.System', 'nanoTime') FROM case_360", "EXPLAIN SELECT * FROM case_360", "SELECT * FROM range(5)", "CACHE TABLE case_360"])
 def test_gate_refuses(spark, bad):
     with pytest.raises(sqlgate.GateError):
         sqlgate.check(spark, bad, ALLOWED)
@@ -225,18 +226,21 @@ def test_gate_runs_and_caps(spark):
 
 
 def test_intents(spark):
-    msgs = ["Are any of these cases connected?", "Where will chain snatching strike next in Tumakuru?", "Show a map of house burglary in Mysuru",
-            "Who are the top repeat offenders in Bengaluru City?", "How many murders were there in Mysuru in 2024?"]
+    msgs = ["Is this the same series as in spring?", "Predict cattle theft in Hassan for the coming weeks", "Give me a hotspot view of arson in Udupi",
+            "List the habitual offenders of Hassan", "Count the arson cases of 2024", "Show the associates of this man", "forecast please"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(msgs)], "i int, t string")
-    got = tagging.intent(df, "t", {"district": ["Tumakuru", "Mysuru", "Bengaluru City"], "sub_head": ["Chain Snatching", "House Burglary"]}, {"district": "Bengaluru City"}).orderBy("i").collect()
-    assert [r["intent"] for r in got] == ["linkage", "forecast", "hotspots", "risk_rank", "run_sql"]
-    assert (got[1]["district"], got[1]["sub_head"]) == ("Tumakuru", "Chain Snatching")
-    assert got[3]["district"] == "Bengaluru City" and got[4]["district"] is None
+    options = {"district": ["Hassan", "Udupi"], "sub_head": ["Cattle Theft", "Theft", "Arson"]}
+    got = tagging.intent(df.withColumn("p", F.lit(None).cast("string")), "t", options, {"district": "Udupi"}, person="p").orderBy("i").collect()
+    assert [r["intent"] for r in got] == ["linkage", "forecast", "hotspots", "risk_rank", "run_sql", "run_sql", "forecast"]
+    assert (got[1]["district"], got[1]["sub_head"]) == ("Hassan", "Cattle Theft")
+    assert (got[2]["district"], got[2]["sub_head"]) == ("Udupi", "Arson")
+    assert got[3]["district"] == "Hassan" and got[4]["district"] is None
+    assert (got[6]["district"], got[6]["sub_head"]) == ("Udupi", None)
 
 
 def test_most_connected_namesake(spark):
-    msgs = spark.createDataFrame([(1, "who is prakash rao?"), (2, "nobody")], "id int, t string")
-    names = spark.createDataFrame([("P1", "Prakash Rao"), ("P2", "Prakash Rao"), ("P3", "Rao X")], "p string, name string")
+    msgs = spark.createDataFrame([(1, "who is asha menon?"), (2, "nobody")], "id int, t string")
+    names = spark.createDataFrame([("P1", "Asha Menon"), ("P2", "Asha Menon"), ("P3", "Menon X")], "p string, name string")
     degree = spark.createDataFrame([("P2", 14), ("P1", 2)], "p string, n int")
     assert [tuple(r) for r in tagging.resolve_name(msgs, "id", "t", names, "p", "name", degree).collect()] == [(1, "P2")]
 
@@ -266,5 +270,8 @@ def test_checkpoint_folder_is_read_from_the_session(spark):
     assert lineage.cut(spark.range(3)).count() == 3
 
 
-def test_broadcast_only_within_bound(spark):
-    assert sizing.at_most(spark.range(5), 5) and not sizing.at_most(spark.range(6), 5)
+def test_small_scans_are_spread_and_others_left_alone(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert sizing.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, 3 * cores)
+    assert sizing.spread(many, "id") is many
