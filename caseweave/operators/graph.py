@@ -34,12 +34,13 @@ def _edge(a: Column, b: Column, kind: str) -> list[Column]:
 
 
 def accused_edges(links: DataFrame, person: str = "person_key", case: str = "case_id") -> DataFrame:
-    return links.select(*_edge(person_id(person), case_id(case), "accused_in")).distinct()
+    return links.select(person, case).distinct().select(*_edge(person_id(person), case_id(case), "accused_in"))
 
 
 def co_accused_edges(pairs: DataFrame, a: str = "person_a", b: str = "person_b") -> DataFrame:
     """Undirected and without self-loops; ``pairs`` may hold a pair once per case."""
-    return pairs.where(F.col(a) != F.col(b)).select(*_edge(person_id(a), person_id(b), "co_accused")).distinct()
+    once = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
+    return once.select(*_edge(person_id(a), person_id(b), "co_accused"))
 
 
 def same_address_edges(homes: DataFrame, person: str = "person_key", home: str = "home_cell", low: int = 2, high: int = 4) -> DataFrame:
