@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Rounds
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,10 +30,11 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", nodes: DataFram
     gathered. ``nodes`` adds isolated nodes.
     """
     e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
-    e = cut(e, "components")
+    rounds = Rounds(edges.sparkSession, "components")
+    e = rounds.cut(e)
     state = None
     while True:
-        e = cut(_small_star(_large_star(e)), "components")
+        e = rounds.cut(_small_star(_large_star(e)))
         seen = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == state:
             break

@@ -1,36 +1,31 @@
-"""Cutting lineage of iterative plans with tables in the cluster's checkpoint folder."""
+"""Cutting lineage with tables in the folder that all executors share."""
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="caseweave-checkpoints-")
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder in the warehouse.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Both are shared on a cluster, and the choice does not depend on the master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_caseweave"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/caseweave-{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table and return the table: later stages start from the files,
     so a lost executor costs a re-read and plans do not grow from round to round."""
@@ -38,3 +33,23 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """State of an iteration: each round is a table, and a table goes once its successor is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        old, self.path = self.path, scratch_path(self.spark, self.label)
+        df.write.parquet(self.path)
+        if old is not None:
+            remove(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+    def close(self) -> None:
+        """Drop the last round too; only when nothing reads it any more."""
+        if self.path is not None:
+            remove(self.spark, self.path)
+            self.path = None
