@@ -3,7 +3,8 @@
 Documents follow each other in the order of their ids. Cuts between sequences lie at
 document or sentence ends; of all such choices the one with the least sum of padding and
 cut penalties is taken. Among the cuts within reach the best predecessor comes from a
-monotone queue; the few lengths that need no padding (powers of two) are looked up.
+monotone queue; the few lengths that need no padding (powers of two, at a small cost that
+keeps short sequences rare) are looked up.
 
 Defined cases: a null or empty text is its end token alone; null ids come first; rows with
 equal ids follow each other in any order; a stretch longer than a sequence without a
@@ -28,6 +29,7 @@ BLOCK_TOKENS = 1 << 20
 #: Penalties in tokens of padding.
 SENTENCE_CUT = 8
 HARD_CUT = 256
+SHORT_SEQUENCE = 32  # of a power of two below SEQUENCE, which needs no padding
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -111,8 +113,8 @@ def best_cuts(at: Sequence[int], penalty: Sequence[float], size: int = SEQUENCE)
         least = key + size - p  # cost[i] + at[i] + padding up to ``size``
         for w in powers:
             k = place.get(p - w)
-            if k is not None and cost[k] < least:
-                least, i = cost[k], k
+            if k is not None and cost[k] + SHORT_SEQUENCE < least:
+                least, i = cost[k] + SHORT_SEQUENCE, k
         cost[j], before[j] = least + penalty[j], i
         key = cost[j] + p
         while queue and queue[-1][0] >= key:

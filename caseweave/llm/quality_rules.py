@@ -38,8 +38,8 @@ class Fence:
 FENCES: Mapping[str, Fence] = {
     "mean_word": Fence(slack=1.5, low=True),
     "symbol_ratio": Fence(slack=0.2),
-    "dup_line_ratio": Fence(slack=0.3),
-    "repeat_ratio": Fence(slack=0.15),
+    "dup_line_ratio": Fence(slack=0.6),
+    "repeat_ratio": Fence(slack=0.35),
 }
 
 

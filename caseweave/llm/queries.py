@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, near_dedup, packing, quality_rules
+from ..plans.lineage import cut
+from . import fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -23,11 +24,52 @@ def crc_of(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+@_query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@_query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    measured = cut(quality_classifier.measure(table(spark, folder, "documents")), "statistics")
+    model = quality_classifier.fit(measured, table(spark, folder, "labels"), crc_of("doc_id", 3) != 1)
+    held_out = F.coalesce(crc_of("doc_id", 3) == 1, F.lit(False))
+    return quality_classifier.with_score(measured, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).drop("url")
+
+
+ORACLE["op3_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+@_query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels").where(crc_of("doc_id", 3) != 1))
+    held_out = F.coalesce(crc_of("doc_id", 3) == 1, F.lit(False))
+    return toxicity.with_score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @_query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op6_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    return subwords.sample(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure_documents(table(spark, folder, "documents")))
@@ -41,6 +83,11 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "links")
 
 
+@_query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.neighbour_likeness(table(spark, folder, "documents"))
+
+
 @_query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
