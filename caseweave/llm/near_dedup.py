@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.clusters import components
 from ..plans.lineage import cut
@@ -150,36 +150,79 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return cut(both.mapInArrow(run, "a long, b long, similarity double"), "links")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, n, own, own_share, repeats): distinct shingles, how many of them no other text of
+    ``texts`` has, their share of the total weight, and whether any shingle repeats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for a, _, buf, at in chunks(batch.column(1)):
+                h, of, weight = weighted_shingles(buf, at)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a + of]), pa.array(h.astype(np.int64)), pa.array(weight.astype(np.int32))],
+                                                 names=["node", "shingle", "weight"])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, at in chunks(batch.column(1)):
+                _, of, weight = weighted_shingles(buf, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(of, minlength=b - a)), pa.array(
+                    np.bincount(of, weight, b - a))], names=["node", "n", "total"])
+
+    single = texts.mapInArrow(run, "node long, shingle long, weight int").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("texts = 1")
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.sum("weight").alias("own_weight"))
+    return texts.mapInArrow(totals, "node long, n long, total double").join(own, "node", "left").select(
+        "node", "n", F.coalesce("own", F.lit(0)).alias("own"), (F.coalesce("own_weight", F.lit(0)) / F.col("total")).alias("own_share"),
+        (F.col("total") > F.col("n")).alias("repeats"))
+
+
+def _bound(a: str, b: str) -> Column:
+    """No similarity of ``verify`` is larger: shingles of its own are on neither side of an intersection."""
+    common = lambda n: F.col(f"n_{n}") - F.col(f"own_{n}")
+    plain = F.least(common(a), common(b)) / F.greatest(
+        F.col(f"own_{a}") + F.col(f"own_{b}") + F.greatest(common(a), common(b)), F.lit(1))
+    loose = 1 - F.greatest(F.col(f"own_share_{a}"), F.col(f"own_share_{b}"))
+    return F.when(F.col(f"repeats_{a}") | F.col(f"repeats_{b}"), F.greatest(plain, loose)).otherwise(plain) + 1e-9
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, key, class_id) per row of ``docs``, (key, class_id, links) per distinct text).
+    """((doc_id, key, class_id, links) per row of ``docs``, (key, rep, class_id, links, leads) per distinct text).
 
-    First every band is a star: its members meet only its smallest and largest one. Then only
-    bands that still hold several components form the pairs between those, so a large group
-    of copies costs comparisons in proportion to its size, and no candidate pair is dropped.
+    First every band is a star: its members meet only the one with the least share of
+    shingles of its own. Then only bands that still hold several components form the pairs
+    between those. Both leave out pairs whose similarity is bounded below the threshold by
+    the shingles that no other candidate has. So a large group of copies costs comparisons
+    about in proportion to its size, and no pair that could be linked is dropped.
     """
     rows = signatures(docs, doc_id, text)
     one = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn(
         "node", F.monotonically_increasing_id()), "texts")
     slots = one.select("node", F.explode("bands").alias("slot"))
-    ends = slots.groupBy("slot").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = cut(slots.join(ends, "slot"), "slots")
+    several = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("slot")
+    shared = cut(slots.join(several, "slot"), "slots")
     nodes = shared.select("node").distinct().join(one.select("node", "key", "rep"), "node")
     filled = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.md5(filled.cast("binary")).alias("key"), F.col(doc_id).cast("long").alias("rep"), filled.alias("text"))
     texts = cut(texts.join(nodes, (texts["key"] == nodes["key"]) & texts["rep"].eqNullSafe(nodes["rep"])).select(
         "node", "text").dropDuplicates(["node"]), "candidates")
-
-    to_lo = shared.where("node != lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    to_hi = shared.where("node != hi AND node != lo").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    stars = cut(to_lo.unionByName(to_hi).distinct(), "pairs")
+    weighed = cut(shared.join(own_shingles(texts), "node"), "weighed")
+
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("n", "own", "own_share", "repeats")]
+    pivots = weighed.groupBy("slot").agg(F.min_by(F.struct("node", "n", "own", "own_share", "repeats"), F.struct(
+        F.col("own") / F.col("n"), "node")).alias("p"))
+    members = weighed.select("slot", F.col("node").alias("a"), *side("a"))
+    stars = members.join(pivots.select("slot", F.col("p.node").alias("b"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in (
+        "n", "own", "own_share", "repeats")]), "slot").where(F.col("a") != F.col("b"))
+    stars = cut(stars.where(_bound("a", "b") >= threshold).select("a", "b").distinct(), "pairs")
     links = verify(stars, texts, threshold)
     parts = components(links)
-    state = shared.join(parts, "node", "left").select("slot", "node", F.coalesce("component", "node").alias("part"))
+    state = weighed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = state.groupBy("slot").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("slot")
     open_ = cut(state.join(mixed, "slot"), "open")
-    x, y = (open_.select("slot", F.col("node").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
-    more = x.join(y, "slot").where("part_a != part_b AND a > b").select("a", "b").distinct()
+    x, y = (open_.select("slot", F.col("node").alias(n), F.col("part").alias(f"part_{n}"), *side(n)) for n in "ab")
+    more = x.join(y, (x["slot"] == y["slot"]) & (F.col("part_a") != F.col("part_b")) & (F.col("a") > F.col("b")) & (
+        _bound("a", "b") >= threshold)).select("a", "b").distinct()
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     late = verify(cut(more.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, threshold)
     links = links.unionByName(late)
