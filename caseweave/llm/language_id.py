@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow_text import chunks, free_name, mix, struct_of, with_text_function
 
@@ -125,7 +125,7 @@ class Model:
         return np.where(known, best, -1), np.where(known, top[:, -1], 0.0), near & known
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> Model:
+def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit on all ``rows`` with a language; only the counts, of fixed size per language, reach the driver."""
     counted = count_ngrams(rows, text, lang).toPandas()
     langs = sorted(counted["lang"].unique())
@@ -138,8 +138,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", order: Column
     side = lambda sign: np.array([share[code[:, b] == sign].mean(0) for b in range(code.shape[1])])
     odds = (np.log(side(1)) - np.log(side(-1))).T.astype(np.float32)
     model = Model(langs, code, odds, np.ones(code.shape[1]), np.ones(code.shape[1]))
-    some = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(_LETTER)).orderBy(
-        F.xxhash64(text) if order is None else order).select(text, lang).limit(SCALE_DOCS).toPandas()
+    known = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(_LETTER)).select(text, lang, F.xxhash64(text).alias("_h"))
+    least = known.select("_h").distinct().orderBy("_h").limit(SCALE_DOCS).agg(F.max("_h")).first()[0]  # numbers first, then few texts
+    some = known.where(F.col("_h") <= (least if least is not None else 0)).dropDuplicates(["_h"]).toPandas()
     m = model.margins(pa.array(some[text], pa.large_string()))
     truth = code[[langs.index(x) for x in some[lang]]]
     model.scale = np.maximum(np.abs(m).mean(0), 1e-6)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.lineage import cut, scratch_path
 
 MIN_REVISIT = 100
-#: The dictionary is built from the records of at most so many pages, those with the smallest hash of id.
+#: The dictionary is built from the records of at most so many pages, of different payloads, those with the smallest hash.
 SAMPLE_PAGES = 500
 SAMPLE_PAGE_BYTES = 1 << 16
 DICTIONARY_BYTES = 1 << 16
@@ -66,8 +66,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def dictionary(rows: DataFrame) -> bytes:
     """Built from a bounded sample of the records as they are archived."""
     import zstandard
-    some = rows.where(F.col("refers_to").isNull() & (F.octet_length("payload") <= SAMPLE_PAGE_BYTES)).orderBy(
-        F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
+    fit = rows.where(F.col("refers_to").isNull() & (F.octet_length("payload") <= SAMPLE_PAGE_BYTES)).withColumn("_h", F.xxhash64("digest"))
+    least = fit.select("_h").distinct().orderBy("_h").limit(SAMPLE_PAGES).agg(F.max("_h")).first()[0]  # numbers first, then few pages
+    some = [] if least is None else fit.where(F.col("_h") <= least).dropDuplicates(["_h"]).collect()
+    some.sort(key=lambda r: r["digest"])
     samples = [record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in some]
     if not samples:
         return b""
