@@ -1,14 +1,13 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Shingles are runs of five words (bytes outside space and 09-0D), weighted by how often the
-text repeats them. A register's winner is the element whose exponential arrival, of rate
+Shingles are runs of five words (bytes outside space and 09-0D), weighted by 1 + ln of how
+often the text repeats them. A register's winner is the element whose exponential arrival, of rate
 equal to its weight, comes first; two texts agree in a register with their probability
 Jaccard similarity. Elements draw arrivals of a Poisson process, each for one register, and
 stop once an arrival comes after the text's last register.
 
-Two texts are linked if they share a band and their exact similarity reaches the threshold:
-the larger of probability Jaccard and plain Jaccard of the shingle sets (equal unless
-shingles repeat). Classes are the connected components of the links.
+Two texts are linked if they share a band and the exact Jaccard similarity of their shingle
+sets (which the weights only approach where shingles repeat) reaches the threshold. Classes are the connected components of the links.
 
 Defined cases: equal texts share a class, also empty ones; null counts as empty; a text of
 one to four words is one shingle; a class is named by its smallest non-null id (null if it
@@ -29,6 +28,7 @@ from .arrow_text import chunks, free_name, mix, shingles, word_hashes, words
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
+MASK_LONGS = 32
 ROWS = 4  # at similarity 0.8 a pair shares none of 20 bands of 4 with probability 3e-5
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -44,7 +44,7 @@ def weighted_shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
-    return h[new], of[new], np.diff(np.concatenate((new, [len(h)]))).astype(float)
+    return h[new], of[new], 1 + np.log(np.diff(np.concatenate((new, [len(h)]))))
 
 
 def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -100,27 +100,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return cut(rows.mapInArrow(run, "doc_id long, key string, bands array<long>"), "signatures")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of probability Jaccard and Jaccard of two (sorted hashes, weights)."""
-    (ha, wa), (hb, wb) = a, b
-    if not len(ha) or not len(hb):
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct hashes."""
+    if not len(a) or not len(b):
         return 0.0
-    common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    plain = len(common) / (len(ha) + len(hb) - len(common))
-    if wa.max() == 1 and wb.max() == 1:
-        return plain
-    # of the elements y, sum of max(wa(y)/wa(x), wb(y)/wb(x)) for every common x, by sorting y by its ratio
-    every, inverse = np.unique(np.concatenate((ha, hb)), return_inverse=True)
-    va, vb = np.zeros(len(every)), np.zeros(len(every))
-    va[inverse[:len(ha)]], vb[inverse[len(ha):]] = wa, wb
-    with np.errstate(divide="ignore"):
-        ratio = np.where(va > 0, vb / np.maximum(va, 1e-300), np.inf)
-    order = np.argsort(ratio)
-    ratio, sa, sb = ratio[order], np.cumsum(va[order]), np.cumsum(vb[order][::-1])[::-1]
-    cut_at = np.searchsorted(ratio, wb[ib] / wa[ia], "right")  # up to here a's share of y is the larger one
-    total = np.where(cut_at > 0, sa[np.maximum(cut_at - 1, 0)], 0) / wa[ia] + \
-        np.where(cut_at < len(every), sb[np.minimum(cut_at, len(every) - 1)], 0) / wb[ib]
-    return float(max(plain, (1 / total).sum()))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -131,15 +116,13 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sims = np.zeros(len(a))
             for first, end, buf, at in chunks(batch.column(2)):
-                h, of, weight = weighted_shingles(buf, at)
+                h, of, _ = weighted_shingles(buf, at)
                 own = np.searchsorted(of, np.arange(end - first + 1))
                 for i in range(first, end):
                     if b[i] != last_b:  # rows come sorted by b or nearly so
                         _, _, bb, ba = next(chunks(batch.column(3).slice(i, 1)))
-                        hb, _, wb = weighted_shingles(bb, ba)
-                        last_b, sets_b = b[i], (hb, wb)
-                    j = slice(own[i - first], own[i - first + 1])
-                    sims[i] = similarity((h[j], weight[j]), sets_b)
+                        last_b, sets_b = b[i], weighted_shingles(bb, ba)[0]
+                    sims[i] = similarity(h[own[i - first]:own[i - first + 1]], sets_b)
             good = np.flatnonzero(sims >= threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(sims[good])],
                                              names=["a", "b", "similarity"])
@@ -150,77 +133,64 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return cut(both.mapInArrow(run, "a long, b long, similarity double"), "links")
 
 
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """(node, n, own, own_share, repeats): distinct shingles, how many of them no other text of
-    ``texts`` has, their share of the total weight, and whether any shingle repeats."""
+def masks(texts: DataFrame) -> DataFrame:
+    """(node, n, mask): distinct shingles, and the bits that they set among MASK_LONGS * 64."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            for a, _, buf, at in chunks(batch.column(1)):
-                h, of, weight = weighted_shingles(buf, at)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a + of]), pa.array(h.astype(np.int64)), pa.array(weight.astype(np.int32))],
-                                                 names=["node", "shingle", "weight"])
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, at in chunks(batch.column(1)):
-                _, of, weight = weighted_shingles(buf, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(of, minlength=b - a)), pa.array(
-                    np.bincount(of, weight, b - a))], names=["node", "n", "total"])
+                h, of, _ = weighted_shingles(buf, at)
+                mask = np.zeros((b - a, MASK_LONGS), np.uint64)
+                np.bitwise_or.at(mask, (of, ((h >> np.uint64(40)) % np.uint64(MASK_LONGS)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
+                ends = np.arange(0, mask.size + 1, MASK_LONGS, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(of, minlength=b - a)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(mask.view(np.int64).ravel()))], names=["node", "n", "mask"])
 
-    single = texts.mapInArrow(run, "node long, shingle long, weight int").groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("texts = 1")
-    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.sum("weight").alias("own_weight"))
-    return texts.mapInArrow(totals, "node long, n long, total double").join(own, "node", "left").select(
-        "node", "n", F.coalesce("own", F.lit(0)).alias("own"), (F.coalesce("own_weight", F.lit(0)) / F.col("total")).alias("own_share"),
-        (F.col("total") > F.col("n")).alias("repeats"))
+    return texts.mapInArrow(run, "node long, n long, mask array<long>")
 
 
 def _bound(a: str, b: str) -> Column:
-    """No similarity of ``verify`` is larger: shingles of its own are on neither side of an intersection."""
-    common = lambda n: F.col(f"n_{n}") - F.col(f"own_{n}")
-    plain = F.least(common(a), common(b)) / F.greatest(
-        F.col(f"own_{a}") + F.col(f"own_{b}") + F.greatest(common(a), common(b)), F.lit(1))
-    loose = 1 - F.greatest(F.col(f"own_share_{a}"), F.col(f"own_share_{b}"))
-    return F.when(F.col(f"repeats_{a}") | F.col(f"repeats_{b}"), F.greatest(plain, loose)).otherwise(plain) + 1e-9
+    """An upper bound of the Jaccard similarity: each bit that only one side sets stands for a shingle the other lacks."""
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"mask_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"mask_{y}")[i]))) for i in range(MASK_LONGS)), F.lit(0))
+
+    most = F.least(F.col(f"n_{a}") - lacking(a, b), F.col(f"n_{b}") - lacking(b, a))
+    return most / F.greatest(F.col(f"n_{a}") + F.col(f"n_{b}") - most, F.lit(1)) + 1e-9
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, key, class_id, links) per row of ``docs``, (key, rep, class_id, links, leads) per distinct text).
 
-    First every band is a star: its members meet only the one with the least share of
-    shingles of its own. Then only bands that still hold several components form the pairs
-    between those. Both leave out pairs whose similarity is bounded below the threshold by
-    the shingles that no other candidate has. So a large group of copies costs comparisons
-    about in proportion to its size, and no pair that could be linked is dropped.
+    First every band is a star: its members meet only the one that shares most bands with
+    others. Then only bands that still hold several components form the pairs between those,
+    and of them only those whose similarity the texts' bit masks do not bound below the
+    threshold. So a large group of copies costs comparisons about in proportion to its size,
+    and no pair that could be linked is dropped.
     """
     rows = signatures(docs, doc_id, text)
     one = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn(
         "node", F.monotonically_increasing_id()), "texts")
     slots = one.select("node", F.explode("bands").alias("slot"))
-    several = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("slot")
+    several = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(slots.join(several, "slot"), "slots")
     nodes = shared.select("node").distinct().join(one.select("node", "key", "rep"), "node")
     filled = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.md5(filled.cast("binary")).alias("key"), F.col(doc_id).cast("long").alias("rep"), filled.alias("text"))
     texts = cut(texts.join(nodes, (texts["key"] == nodes["key"]) & texts["rep"].eqNullSafe(nodes["rep"])).select(
         "node", "text").dropDuplicates(["node"]), "candidates")
-    weighed = cut(shared.join(own_shingles(texts), "node"), "weighed")
-
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("n", "own", "own_share", "repeats")]
-    pivots = weighed.groupBy("slot").agg(F.min_by(F.struct("node", "n", "own", "own_share", "repeats"), F.struct(
-        F.col("own") / F.col("n"), "node")).alias("p"))
-    members = weighed.select("slot", F.col("node").alias("a"), *side("a"))
-    stars = members.join(pivots.select("slot", F.col("p.node").alias("b"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in (
-        "n", "own", "own_share", "repeats")]), "slot").where(F.col("a") != F.col("b"))
-    stars = cut(stars.where(_bound("a", "b") >= threshold).select("a", "b").distinct(), "pairs")
+    crowd = shared.groupBy("node").agg(F.sum("size").alias("crowd"))
+    pivots = shared.join(crowd, "node").groupBy("slot").agg(F.max_by("node", F.struct("crowd", -F.col("node"))).alias("b"))
+    stars = shared.join(pivots, "slot").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    stars = cut(stars, "pairs")
     links = verify(stars, texts, threshold)
     parts = components(links)
-    state = weighed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    state = shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = state.groupBy("slot").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("slot")
-    open_ = cut(state.join(mixed, "slot"), "open")
-    x, y = (open_.select("slot", F.col("node").alias(n), F.col("part").alias(f"part_{n}"), *side(n)) for n in "ab")
+    open_ = cut(state.join(mixed, "slot").select("slot", "node", "part"), "open")
+    need = open_.select("node").distinct().join(texts, "node")
+    open_ = cut(open_.join(masks(need), "node"), "masks")
+    x, y = (open_.select("slot", *[F.col(c).alias(f"{c}_{n}") for c in ("part", "n", "mask")], F.col("node").alias(n)) for n in "ab")
     more = x.join(y, (x["slot"] == y["slot"]) & (F.col("part_a") != F.col("part_b")) & (F.col("a") > F.col("b")) & (
         _bound("a", "b") >= threshold)).select("a", "b").distinct()
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
