@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.lineage import cut
 from .license_texts import TEMPLATES
 from .quality_rules import let
 
@@ -61,7 +62,7 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, doc_id: str = "doc_
     any_of = F.lit(False)
     for k in widths:
         any_of = any_of | F.arrays_overlap(F.col(f"s.s{k}"), values[k])
-    found = found.where(any_of)
+    found = cut(found.where(any_of), "noticed")  # few documents; each class of windows reads them again
     windows = None
     for width, half in sorted({(r["width"], r["half"]) for r in fixed}):
         s = F.col(f"s.s{width}")
