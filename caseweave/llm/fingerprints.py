@@ -30,11 +30,13 @@ _LAST = (1 << _POSITION_BITS) - 1
 
 def _doubled(values: Column, width: int, combine) -> Column:
     """Combination of every ``width`` (a power of two) neighbours, by combining halves."""
+    def with_shifted(step: int):
+        return lambda v: F.zip_with(F.slice(v, F.lit(1), F.greatest(F.size(v) - step, F.lit(0))),
+                                    F.slice(v, F.lit(step + 1), F.greatest(F.size(v) - step, F.lit(0))), combine)
+
     step = 1
     while step < width:
-        values = let(values, lambda v, step=step: F.zip_with(
-            F.slice(v, F.lit(1), F.greatest(F.size(v) - step, F.lit(0))),
-            F.slice(v, F.lit(step + 1), F.greatest(F.size(v) - step, F.lit(0))), combine))
+        values = let(values, with_shifted(step))
         step *= 2
     return values
 
