@@ -78,7 +78,7 @@ def codewords(k: int) -> np.ndarray:
         return np.zeros((k, 0))
     if k <= EXHAUSTIVE:
         return np.array([[1 if i == 0 or not (b >> (i - 1)) & 1 else -1 for b in range(1, 2 ** (k - 1))] for i in range(k)])
-    want, seen, columns, draw = BITS_PER_DOUBLING * int(np.ceil(np.log2(k))), set(), [], 0
+    want, seen, columns, draw = min(BITS_PER_DOUBLING * int(np.ceil(np.log2(k))), 2 ** (k - 1) - 1), set(), [], 0
     while len(columns) < want or len({tuple(r) for r in np.array(columns).T}) < k:
         bits = np.where(mix(np.arange(k, dtype=np.uint64) + np.uint64(draw * k + 1)) >> np.uint64(63), 1, -1)
         draw += 1
