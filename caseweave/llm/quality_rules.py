@@ -125,7 +125,7 @@ def limits(by_group: DataFrame) -> DataFrame:
         return by_group.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in FENCES])
 
     def fences(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        q = lambda k, at: F.kll_sketch_get_quantile_double(F.col(k), F.lit(at))
+        q = lambda k, at: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(k), F.lit(at)))
         parts = []
         for k, f in FENCES.items():
             wide = F.greatest(f.spread * (q(k, 0.75) - q(k, 0.25)), F.lit(f.slack))
@@ -135,7 +135,7 @@ def limits(by_group: DataFrame) -> DataFrame:
 
     own = fences(by_group, "own", "lang", "source")
     per_lang = fences(merged("lang"), "per_lang", F.col("lang").alias("lang2"))
-    row = fences(merged(), "every").select("every.*").first()
+    row = fences(merged(), "every").select("every.*").first()  # nulls if no document passes the base rules
     every = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in row.asDict().items()])
     joined = own.join(per_lang, F.col("lang").eqNullSafe(F.col("lang2")))
     enough = lambda name: F.when(F.col(f"{name}_n") >= MIN_GROUP, F.col(name))
