@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Most labelled training documents taken of each class; those with the smallest hash of the id.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 800
 CANDIDATES = 400
 LANDMARKS = 64
 DECAY = 0.8
