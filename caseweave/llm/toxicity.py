@@ -48,6 +48,8 @@ _ORDER = 3
 _CODES = 40
 _START = "\x02\x02"  # twice, so that beginnings weigh more
 _CACHE = 400_000
+#: Subsequences looked up at once, so that their rows stay in the processor's cache.
+_BLOCK = 8_192
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _INNER = re.compile(r"\w[^\w\s]+\w")
@@ -64,9 +66,9 @@ def sentences(text: str) -> list[list[str]]:
     for s in _SENTENCE.split(text.lower()):
         words = s.split()
         if words:
-            if sum(len(w) == 1 for w in words) > 2:
+            if list(map(len, words)).count(1) > 2:
                 words += [re.sub(r"\s", "", m) for m in _SPACED.findall(s)]
-            if not s.replace(" ", "").isalpha():
+            if _INNER.search(s):
                 words += [_MARK.sub("", w) for w in words if _INNER.search(w)]
             words = list(dict.fromkeys(words))
             out += [words[i:i + SENTENCE_WORDS] for i in range(0, len(words), SENTENCE_WORDS)]
@@ -125,27 +127,51 @@ def dense(words: Sequence[str]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def kernel(words: Sequence[str], table: np.ndarray) -> np.ndarray:
-    """word x landmark; ``table``: bucket x landmark, the landmarks' unit vectors."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
+def _norms(bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Lengths of the words' vectors; equal subsequences at several places add up."""
+    out = np.full(len(bucket), (weight ** 2).sum())
+    s = np.sort(bucket, 1)
+    rep = np.flatnonzero((s[:, 1:] == s[:, :-1]).any(1))
+    if len(rep):
+        order = np.argsort(bucket[rep], 1)
+        b = np.take_along_axis(bucket[rep], order, 1)
+        new = np.ones(b.shape, bool)
+        new[:, 1:] = b[:, 1:] != b[:, :-1]
+        sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(new))
+        count = new.sum(1)
+        out[rep] = np.add.reduceat(sums ** 2, np.cumsum(count) - count)
+    return np.sqrt(out)
+
+
+def kernel(words: Sequence[str], table: Landmarks) -> np.ndarray:
+    """word x landmark."""
+    out = np.zeros((len(words), table.rows.shape[1]), np.float32)
     for which, bucket, weight in word_features(words):
-        step = max(1, 400_000 // bucket.shape[1])
+        step = max(1, _BLOCK // bucket.shape[1])
+        w32 = weight.astype(np.float32)
         for i in range(0, len(which), step):
             b = bucket[i:i + step]
-            value = np.einsum("nck,c->nk", table[b], weight.astype(np.float32), optimize=True)
-            s = np.sort(b, 1)  # equal subsequences at several places add up
-            norm = np.full(len(b), (weight ** 2).sum())
-            if (s[:, 1:] == s[:, :-1]).any():
-                rep = np.flatnonzero((s[:, 1:] == s[:, :-1]).any(1))
-                for r in rep:
-                    norm[r] = (np.bincount(np.unique(b[r], return_inverse=True)[1], weight) ** 2).sum()
-            out[which[i:i + step]] = value / np.sqrt(norm)[:, None]
+            out[which[i:i + step]] = np.einsum("nck,c->nk", table.rows[table.row_of[b]], w32) / _norms(b, weight)[:, None]
     return out ** 4
 
 
+@dataclass
+class Landmarks:
+    """The landmarks' unit vectors by the buckets that any of them has; row 0 is zero."""
+    row_of: np.ndarray  # bucket -> row
+    rows: np.ndarray  # row x landmark
+
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> Landmarks:
+        used = np.flatnonzero(vectors.any(0))
+        row_of = np.zeros(vectors.shape[1], np.int32)
+        row_of[used] = np.arange(1, len(used) + 1)
+        return cls(row_of, np.concatenate((np.zeros((1, len(vectors)), np.float32), vectors[:, used].T)))
+
+
 @dataclass
 class Machine:
-    table: np.ndarray  # bucket x landmark
+    table: Landmarks
     beta: np.ndarray  # landmark weights of the decision
     bias: float
     slope: float
@@ -163,7 +189,7 @@ class Machine:
         flat = [w for d in split for s in d for w in s]
         if len(cache) > _CACHE:
             cache.clear()
-        new = list(set(flat) - cache.keys())
+        new = [w for w in dict.fromkeys(flat) if w not in cache]
         if new:
             cache.update(zip(new, self.word_values(new).tolist()))
         out = np.full(len(docs), self.bias)
@@ -256,7 +282,7 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
         low = np.concatenate((low, col[:, None]), 1)
         rest = np.maximum(rest - col ** 2, 0)
         picked.append(i)
-    table = np.ascontiguousarray(vectors[picked].T)
+    table = Landmarks.of(vectors[picked])
     values, turn = np.linalg.eigh(gram[np.ix_(picked, picked)] + 1e-6 * np.eye(len(picked)))
     nystrom = turn / np.sqrt(np.maximum(values, 1e-9)) @ turn.T
 
@@ -298,7 +324,7 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
 
 def with_score(docs: DataFrame, model: Machine | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x 40^3 floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the landmarks' own subsequences, and a row number for each of 40^3 buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = shared.value, {}
