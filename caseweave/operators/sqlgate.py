@@ -15,7 +15,7 @@ from ..functions.fixed_values import ROW_CAP
 
 # Nodes of a parsed plan that only read.
 QUERY_NODES = frozenset("""
-Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit Offset
+Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
 OneRowRelation Pivot Project Repartition RepartitionByExpression Sort SubqueryAlias Transpose Union
 UnresolvedHaving UnresolvedInlineTable UnresolvedOrdinal UnresolvedRelation UnresolvedSubqueryColumnAliases
 UnresolvedWith Unpivot Window WithWindowDefinition
@@ -48,18 +48,29 @@ def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
 
 
-def _walk(plan):
-    """All plan nodes: children, CTE definitions and subqueries inside expressions."""
-    yield plan
-    below = _seq(plan.children()) + [p for p in _seq(plan.innerChildren()) if hasattr(p, "innerChildren")]
+def _walk(plan, names: frozenset[str]):
+    """(node, names it may read) of children, CTE definitions and subqueries inside expressions.
+
+    A CTE name counts in later definitions and in the body of its WITH; in its own
+    definition only if that is RECURSIVE, else the name there would mean a table.
+    """
+    yield plan, names
+    if plan.nodeName() == "UnresolvedWith":
+        for rel in _seq(plan.cteRelations()):
+            own = names | {rel._1().lower()}
+            yield from _walk(rel._2(), own if plan.allowRecursion() else names)
+            names = own
+        below = _seq(plan.children())
+    else:
+        below = _seq(plan.children()) + [p for p in _seq(plan.innerChildren()) if hasattr(p, "innerChildren")]
     for child in below + _seq(plan.subqueries()):
-        yield from _walk(child)
+        yield from _walk(child, names)
 
 
 def _functions(expressions) -> Iterable[str]:
     for e in expressions:
         if e.nodeName() == "UnresolvedFunction":
-            yield ".".join(_seq(e.nameParts())).lower()
+            yield _seq(e.nameParts())[-1].lower()
         yield from _functions(_seq(e.children()))
 
 
@@ -72,12 +83,7 @@ def check(spark: SparkSession, sql: str, allowed: Iterable[str]) -> str:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
     except Exception as exc:  # noqa: BLE001 - the parser raises JVM errors
         raise GateError(f"parse error: {str(exc).splitlines()[0]}") from exc
-    tables = {a.lower() for a in allowed}
-    nodes = list(_walk(plan))
-    for node in nodes:
-        if node.nodeName() == "UnresolvedWith":
-            tables |= {rel._1().lower() for rel in _seq(node.cteRelations())}
-    for node in nodes:
+    for node, tables in _walk(plan, frozenset(a.lower() for a in allowed)):
         kind = node.nodeName()
         if kind not in QUERY_NODES:
             raise GateError(f"only read-only queries are allowed, found {kind}")

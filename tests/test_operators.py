@@ -209,7 +209,9 @@ ALLOWED = {"case_360"}
     "", "DELETE FROM case_360 WHERE n > 1", "UPDATE case_360 SET n = n + 1", "INSERT INTO case_360 SELECT 1", "TRUNCATE TABLE case_360", "DROP VIEW case_360",
     "CREATE TABLE copied AS SELECT * FROM case_360", "ALTER TABLE case_360 RENAME TO other", "SELECT n FROM case_360; SELECT n FROM case_360", "SELECT * FROM payroll",
     "SELECT * FROM parquet.`/data/x`", "SELECT * FROM case_360 WHERE n IN (SELECT n FROM payroll)", "WITH a AS (SELECT * FROM payroll) SELECT * FROM a", "SET spark.x=1",
-    "SHOW TABLES", "SELECT reflect('java.lang.System', 'nanoTime') FROM case_360", "EXPLAIN SELECT * FROM case_360", "SELECT * FROM range(5)", "CACHE TABLE case_360"])
+    "SHOW TABLES", "SELECT reflect('java.lang.System', 'nanoTime') FROM case_360", "EXPLAIN SELECT * FROM case_360", "SELECT * FROM range(5)", "CACHE TABLE case_360",
+    "WITH payroll AS (SELECT * FROM payroll) SELECT * FROM payroll", "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a",
+    "SELECT * FROM (WITH t AS (SELECT 1 AS x) SELECT * FROM t) JOIN t", "SELECT system.builtin.reflect('java.lang.System', 'nanoTime') FROM case_360"])
 def test_gate_refuses(spark, bad):
     with pytest.raises(sqlgate.GateError):
         sqlgate.check(spark, bad, ALLOWED)
@@ -223,6 +225,10 @@ def test_gate_runs_and_caps(spark):
     out = sqlgate.run(spark, "WITH t AS (SELECT n FROM case_360 LIMIT 10) SELECT count(*) AS c FROM t UNION SELECT 1 FROM t", ALLOWED)
     assert out.row_count == 2 and not out.truncated
     assert sqlgate.query(spark, "SELECT n FROM case_360", ALLOWED).count() == 500
+    out = sqlgate.run(spark, "WITH a AS (SELECT n FROM case_360), b AS (SELECT n FROM a) SELECT max(n) AS m FROM b WHERE n IN (SELECT n FROM a)", ALLOWED)
+    assert out.rows == [(599,)]
+    out = sqlgate.run(spark, "WITH RECURSIVE r AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM r WHERE x < 5) SELECT sum(x) AS s FROM r", ALLOWED)
+    assert out.rows == [(15,)]
 
 
 def test_intents(spark):
