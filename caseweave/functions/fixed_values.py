@@ -74,7 +74,6 @@ LINK_MAX_DAYS = 180
 LINK_MAX_KM = 120.0
 LINK_GEO_SCALE_KM = 120.0
 CLUSTER_MIN_SIZE = 4
-CLUSTER_MAX_BLOCK = 4000
 CLUSTER_EPSILON = 0.35
 CONFIDENCE_FLOOR = 0.55
 SCORE_WEIGHTS = {"recency": 0.30, "frequency": 0.35, "gravity": 0.25, "centrality": 0.10}
