@@ -82,6 +82,8 @@ def build(persons: DataFrame, links: DataFrame, pairs: DataFrame, mentions: Data
     Only persons of the registry take part. ``case_labels`` is (case, label).
     """
     links = links.join(persons.select(person), person, "left_semi").select(person, case)
+    for end in ("person_a", "person_b"):
+        pairs = pairs.join(persons.select(F.col(person).alias(end)).distinct(), end, "left_semi")
     edges = accused_edges(links, person, case).unionByName(co_accused_edges(pairs))
     edges = edges.unionByName(same_address_edges(persons, person, home))
     if mentions is not None:
@@ -154,7 +156,7 @@ def ego(graph: Graph, node: str, depth: int = 2) -> Graph:
     return induced(graph, ids)
 
 
-def shortest_path(graph: Graph, a: str, b: str, max_hops: int = 64) -> DataFrame:
+def shortest_path(graph: Graph, a: str, b: str) -> DataFrame:
     """(step, id) of the smallest shortest path from a to b; no rows if there is none.
 
     Levels grow from b, every node remembers its smallest neighbour one level nearer to b;
@@ -165,13 +167,13 @@ def shortest_path(graph: Graph, a: str, b: str, max_hops: int = 64) -> DataFrame
     adj = adjacency(graph.edges)
     known = graph.nodes.where(F.col("id").isin(a, b)).select("id")
     level = cut(known.where(F.col("id") == b).where(F.lit(known.count() == len({a, b}))).select("id", F.lit(None).cast("string").alias("next")), "path")
-    seen = level.select("id")
     levels = [level]
     try:
-        while not level.isEmpty() and level.where(F.col("id") == a).isEmpty() and len(levels) <= max_hops:
+        while not level.isEmpty() and level.where(F.col("id") == a).isEmpty():
             step = adj.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("next"))
-            level = cut(step.join(seen, "id", "left_anti"), "path")
-            seen = seen.unionByName(level.select("id"))
+            # neighbours of a level lie in the level before, the same or the next one
+            old = level if len(levels) == 1 else level.unionByName(levels[-2])
+            level = cut(step.join(old.select("id"), "id", "left_anti"), "path")
             levels.append(level)
     finally:
         adj.unpersist()
@@ -235,7 +237,7 @@ def sampled_sources(nodes: DataFrame, k: int, seed: int = 42, key: str = "id") -
     return nodes.select(key).distinct().orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k)
 
 
-def betweenness(edges: DataFrame, k: int | None = 200, seed: int = 42, max_levels: int = 64, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, k: int | None = 200, seed: int = 42, sources: DataFrame | None = None) -> DataFrame:
     """(id, centrality) from shortest paths of k sampled sources, scaled by the largest.
 
     Forward, a level holds (source, node, paths). Neighbours of a level lie in the level
@@ -249,7 +251,7 @@ def betweenness(edges: DataFrame, k: int | None = 200, seed: int = 42, max_level
         chosen = sources if sources is not None else (nodes if k is None else sampled_sources(nodes, k, seed))
         first = cut(chosen.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
         levels = [first]
-        while len(levels) <= max_levels:
+        while True:
             grown = (levels[-1].join(adj, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths")))
             old = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])
             fresh = cut(grown.join(old.select("s", "v"), ["s", "v"], "left_anti"), "level")

@@ -85,6 +85,13 @@ def test_betweenness_equals_brute_force(spark):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(30))
 
 
+def test_pairs_of_unregistered_persons_give_no_edge(spark):
+    g = gr.build(spark.createDataFrame([(1, "x", None), (3, "y", None)], "person_key int, full_name string, home_cell string"),
+                 spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "person_key int, case_id int"),
+                 spark.createDataFrame([(1, 2, 5), (1, 3, 5), (2, 3, 5)], "person_a int, person_b int, case_id int"))
+    assert [tuple(r) for r in g.edges.where("kind = 'co_accused'").select("a", "b").collect()] == [("P-1", "P-3")]
+
+
 def test_louvain_separates_cliques_and_does_not_lose_modularity(spark):
     edges = []
     for base in (0, 10, 20):
