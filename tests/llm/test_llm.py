@@ -290,7 +290,7 @@ def all_segmentations(text, vocab):
 def draw(text, key, vocab, k):
     (_, _, buf, at), = arrow_text.chunks(pa.array([text], pa.large_string()))
     buf, at = subwords.with_leading_space(buf, at)
-    (_, found, rest, ids, same), = subwords.segment(buf, at, np.array([key], np.uint64), vocab, k)
+    (_, found, rest, ids, same), = subwords.segment(buf, at, np.array([key], np.uint64), subwords.Known(vocab), k)
     return [(tuple(i.tolist()), f[1], f[2]) for i, f in zip(ids, found)], rest, same
 
 
