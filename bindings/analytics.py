@@ -275,7 +275,7 @@ q("n5_resolve_name", f"SELECT msg_id, person_key FROM (SELECT conv_id || '-' ||
     lambda s, d: tagging.resolve_name(_messages(s, d), "msg_id", "text", _names(s, d), "person_key", "name",
                                       m.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("person_key")).agg(F.count(F.lit(1)).alias("n"))))
 q("n6_evidence_ids", m.sql("SELECT case_id FROM case_360 WHERE district = 'ASIA' ORDER BY case_id LIMIT 50"))(
-    lambda s, d: tagging.evidence_ids(m.cases(s, d, ["case_id", "district"]).where("district = 'ASIA'").orderBy("case_id")))
+    lambda s, d: tagging.evidence_ids(m.cases(s, d, ["case_id", "district"]).where("district = 'ASIA'"), cap=50))
 q("n7_grounding", r"""
 WITH n AS (SELECT c.conv_id, c.turn, regexp_extract_all(c.text, '\d[\d,]*') AS found FROM conversations c)
 SELECT conv_id, turn, len(list_filter(found, lambda x: replace(x, ',', '') != CAST(turn AS VARCHAR) AND replace(x, ',', '') != CAST(conv_id AS VARCHAR))) = 0 AS grounded FROM n""")(
@@ -309,17 +309,17 @@ q("e2_accuracy", "SELECT source, count(*) FILTER (WHERE toxic = 0) AS passed, co
 
 
 def _clusterings(s, d):
-    """Predicted: documents that begin alike; truth: exact copies."""
+    """Predicted: documents with the same words; truth: exact copies."""
     docs = m.table(s, d, "documents")
     truth = docs.select("doc_id", F.md5("text").alias("label"))
-    pred = docs.select("doc_id", F.concat_ws(":", "lang", F.md5(F.array_join(F.slice(tx.tokens("text"), 1, 12), " "))).alias("k"))
+    pred = docs.select("doc_id", F.concat_ws(":", "lang", F.md5(F.array_join(tx.tokens("text"), " "))).alias("k"))
     pred = pred.join(pred.groupBy("k").agg(F.min("doc_id").alias("cluster")), "k").select("doc_id", "cluster")
     return pred, truth
 
 
 PR_CTE = f"""
 WITH truth AS (SELECT doc_id, md5(text) AS label FROM documents),
-k AS (SELECT doc_id, lang || ':' || md5(coalesce(list_aggregate(regexp_extract_all(lower(text), '[a-z]+')[1:12], 'string_agg', ' '), '')) AS k FROM documents),
+k AS (SELECT doc_id, lang || ':' || md5(coalesce(list_aggregate(regexp_extract_all(lower(text), '[a-z]+'), 'string_agg', ' '), '')) AS k FROM documents),
 pred AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS cluster FROM k),
 over AS (SELECT cluster, label, count(*) AS n FROM pred JOIN truth USING (doc_id) GROUP BY ALL),
 ps AS (SELECT cluster, count(*) AS size_p FROM pred GROUP BY ALL), tsz AS (SELECT label, count(*) AS size_t FROM truth GROUP BY ALL)

@@ -117,8 +117,8 @@ def _members(s, d):
 
 q("l1_candidates", m.sql("SELECT case_id, crime_sub_head, vehicle, target, tod, dow FROM oc -- case_360", OPEN_CTE))(
     lambda s, d: open_cases(s, d).select("case_id", "crime_sub_head", "vehicle", "target", "tod", "dow"))
-q("l2_block_sizes", m.sql("SELECT case_id FROM oc WHERE vehicle || district IN (SELECT vehicle || district FROM oc GROUP BY 1 HAVING count(*) BETWEEN 4 AND 200) -- case_360", OPEN_CTE))(
-    lambda s, d: lk.blocks_in_range(open_cases(s, d).withColumn("block", F.concat("vehicle", "district")), "block", 4, 200).select("case_id"))
+q("l2_block_sizes", m.sql("SELECT case_id FROM oc WHERE vehicle || district IN (SELECT vehicle || district FROM oc GROUP BY 1 HAVING count(*) >= 4) -- case_360", OPEN_CTE))(
+    lambda s, d: lk.blocks_of_size(open_cases(s, d).withColumn("block", F.concat("vehicle", "district")), "block", 4).select("case_id"))
 _pair_sql = "SELECT block, a, b, days, round(km, 5) AS km, same_vehicle::DOUBLE AS same_vehicle, same_tod::DOUBLE AS same_tod{} FROM {} -- case_360"
 _pair_cols = lambda: ["block", "a", "b", "days", F.round("km", 5).alias("km"), "same_vehicle", "same_tod"]
 q("j7_blocked_pairs", m.sql(_pair_sql.format("", "pairs"), PAIRS_CTE))(

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fx, geo, temporal as tm, text as tx, vectors as vec
 from ..functions.rounding import python_round
 from ..plans.lineage import cut
-from ..plans.sizing import spread
 from .neighbours import knn
 from .ranking import numbered, top_k_per_group
 from .score import refuse_denied
@@ -41,7 +40,6 @@ class Rules:
     max_km: float = fx.LINK_MAX_KM
     scale_km: float = fx.LINK_GEO_SCALE_KM
     min_block: int = fx.CLUSTER_MIN_SIZE
-    max_block: int | None = None  # a number skips larger blocks; None links blocks of any size
 
 
 def extract_features(df: DataFrame, text: str, ts: str, lat: str, lon: str, resolution: int = 8,
@@ -62,7 +60,7 @@ def text_vectors(df: DataFrame, text: str, dim: int = 256, n: int = 3, name: str
     chars = RegexTokenizer(inputCol="_text", outputCol="_chars", pattern="(?s)(.)", gaps=False, toLowercase=True)
     grams = NGram(n=n, inputCol="_chars", outputCol="_grams")
     counts = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_tf")
-    texts = spread(df, df.columns[0]).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    texts = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     staged = counts.transform(grams.transform(chars.transform(texts))).select(*df.columns, "_tf")
     staged = cut(staged, "term-counts")  # read twice: for the frequencies and for the weights
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(staged).transform(staged)
@@ -70,13 +68,10 @@ def text_vectors(df: DataFrame, text: str, dim: int = 256, n: int = 3, name: str
     return unit.select(*df.columns, vector_to_array("_unit").alias(name))
 
 
-def blocks_in_range(df: DataFrame, block: str, low: int, high: int | None) -> DataFrame:
-    """Rows of blocks with at least ``low`` and at most ``high`` rows."""
+def blocks_of_size(df: DataFrame, block: str, low: int) -> DataFrame:
+    """Rows of blocks with at least ``low`` rows."""
     sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
-    keep = F.col("_n") >= low
-    if high is not None:
-        keep = keep & (F.col("_n") <= high)
-    return df.join(sizes.where(keep).select(block), block, "left_semi")
+    return df.join(sizes.where(F.col("_n") >= low).select(block), block, "left_semi")
 
 
 def _present(c: Column) -> Column:
@@ -112,7 +107,7 @@ def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rul
     refuse_denied(fields.features)
     must = indispensable(rules, fields.features, threshold)
     km = _reach_km(rules, threshold)
-    rows = blocks_in_range(df, fields.block, rules.min_block, rules.max_block).where(
+    rows = blocks_of_size(df, fields.block, rules.min_block).where(
         F.col(fields.date).isNotNull() & F.col(fields.lat).isNotNull() & F.col(fields.lon).isNotNull())
     rows = rows.select(
         F.col(fields.key).alias("id"), F.col(fields.block).alias("block"), F.col(fields.date).cast("date").alias("day"),
@@ -120,7 +115,6 @@ def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rul
         F.floor(F.unix_date(F.col(fields.date).cast("date")) / (rules.max_days + 1)).cast("long").alias("bucket"))
     for f in must:
         rows = rows.where(_present(F.col(f)).isNotNull())
-    rows = spread(rows, "id")
     late = rows.withColumn("cell", geo.radius_key("lat", "lon", km))
     early = (rows.withColumn("cell", F.explode(geo.radius_probe_keys("lat", "lon", km)))
              .withColumn("look", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))))
@@ -130,7 +124,8 @@ def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rul
         cond = cond & (F.col(f"l.{f}") == F.col(f"r.{f}"))
     gap = F.abs(F.datediff("l.day", "r.day"))
     cond = cond & (gap <= rules.max_days)
-    joined = early.alias("l").join(late.alias("r"), cond)
+    # few input bytes can make very many pairs: both sides are always dealt out by key, never broadcast
+    joined = early.alias("l").join(late.alias("r").hint("merge"), cond)
     out = joined.select(
         F.col("l.block").alias("block"), F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"),
         gap.alias("days"), geo.haversine_km("l.lat", "l.lon", "r.lat", "r.lon").alias("km"),
@@ -152,7 +147,6 @@ def score_pairs(pairs: DataFrame, df: DataFrame, fields: Fields = Fields(), rule
     open_pairs = pairs.withColumn("_part", part)
     if threshold is not None:
         open_pairs = open_pairs.where(F.col("_part") + F.lit(w.get("cosine", 0.0)) >= threshold - 1e-9)
-    open_pairs = spread(open_pairs, "a", "b")
     vectors = df.select(F.col(fields.key).alias("_id"), vec.unit(fields.vector).alias("_v"))
     va, vb = vectors.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), vectors.select(F.col("_id").alias("b"), F.col("_v").alias("_vb"))
     scored = (open_pairs.join(va, "a").join(vb, "b").withColumn("cosine", vec.dot("_va", "_vb"))

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.lineage import cut
+
 
 def _order(by: Sequence[Column | str]) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in by]
@@ -52,9 +54,9 @@ def numbered(df: DataFrame, by: Sequence[Column | str], pattern: str, name: str
 
 
 def capped(df: DataFrame, cap: int) -> tuple[DataFrame, bool]:
-    """At most ``cap`` rows, and whether there were more."""
-    probe = df.limit(cap + 1)
-    return probe.limit(cap), probe.count() > cap
+    """At most ``cap`` rows, and whether there were more. The plan runs once: its first cap + 1 rows are written."""
+    probe = cut(df.limit(cap + 1).withColumn("_nth", F.monotonically_increasing_id()), "capped")
+    return probe.where(F.col("_nth") < cap).drop("_nth"), probe.count() > cap
 
 
 def two_phase_top(df: DataFrame, coarse: Sequence[Column | str], prefilter: int | None, score: Column,

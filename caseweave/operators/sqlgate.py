@@ -105,9 +105,9 @@ def is_read_only(spark: SparkSession, sql: str, allowed: Iterable[str]) -> bool:
         return False
 
 
-def query(spark: SparkSession, sql: str, allowed: Iterable[str], limit: int = ROW_CAP) -> DataFrame:
-    """The checked query as a DataFrame of at most ``limit`` rows."""
-    return spark.sql(check(spark, sql, allowed)).limit(limit)
+def query(spark: SparkSession, sql: str, allowed: Iterable[str]) -> DataFrame:
+    """The checked query as a DataFrame, whole; ``run`` caps rows and says whether it did."""
+    return spark.sql(check(spark, sql, allowed))
 
 
 def run(spark: SparkSession, sql: str, allowed: Iterable[str], limit: int = ROW_CAP) -> GatedResult:

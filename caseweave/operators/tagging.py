@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.fixed_values import DEFAULT_INTENT, INTENT_KEYWORDS
-from ..plans.sizing import spread
 from .ranking import top_k_per_group
 
 # which slots an intent carries
@@ -35,22 +34,36 @@ def intent(df: DataFrame, text: str, options: Mapping[str, Sequence[str]] | None
     return out
 
 
+def _grams(text: str, n: int) -> Column:
+    """The distinct runs of n characters of a text; empty for a shorter one."""
+    def runs(chars: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        return F.when(F.size(chars) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.split(text, "")), runs)[0]  # an argument of a function is split once, not once per run
+
+
 def names_in_text(messages: DataFrame, message_id: str, text: str, names: DataFrame, person: str, name: str) -> DataFrame:
     """(message, person) for every name that occurs in a message as a substring.
 
-    Every message is cut into its distinct substrings of the lengths that names have, and
-    these are joined with the names by equality: a message meets no name it does not
-    contain, and each name it contains once.
+    A name is looked up by the one of its three-character runs that the fewest messages have,
+    a name of one or two characters by itself; the messages found are then searched for the
+    whole name. So a text gives about as many keys as it has characters, whatever lengths
+    names have. Repeated messages count each, repeated names once.
     """
-    known = names.where(F.length(name) > 0).select(person, F.lower(name).alias("_name"))
-    lengths = known.agg(F.collect_set(F.length("_name"))).scalar()
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    cut = lambda chars, n: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")))
-    pieces = (spread(messages, message_id).select(message_id, F.split(low, "").alias("_chars"), F.explode(lengths).alias("_len"))
-              .where(F.size("_chars") >= F.col("_len"))
-              .select(message_id, F.explode(cut(F.col("_chars"), F.col("_len"))).alias("_name")))
-    return pieces.join(known, "_name").select(message_id, person)
+    low = messages.select(message_id, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    known = names.where(F.length(name) > 0).select(person, F.lower(name).alias("_name")).distinct()
+    size = F.size(F.split("_name", ""))
+    runs = low.select(message_id, F.explode(_grams("_text", 3)).alias("_gram"))
+    own = known.where(size >= 3).select(person, "_name", F.explode(_grams("_name", 3)).alias("_gram"))
+    often = runs.join(own.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    key = own.join(often, "_gram").groupBy(person, "_name").agg(F.min(F.struct("_n", "_gram")).alias("_key"))
+    found = runs.join(key.select(person, "_name", F.col("_key._gram").alias("_gram")), "_gram").select(message_id, person, "_name")
+    for n in (1, 2):
+        short = known.where(size == n)
+        found = found.unionByName(low.select(message_id, F.explode(_grams("_text", n)).alias("_name")).join(short, "_name")
+                                  .select(message_id, person, "_name"))
+    return low.join(found.distinct(), message_id).where(F.contains("_text", "_name")).select(message_id, person)
 
 
 def resolve_name(messages: DataFrame, message_id: str, text: str, names: DataFrame, person: str, name: str,
@@ -64,11 +77,12 @@ def resolve_name(messages: DataFrame, message_id: str, text: str, names: DataFra
                            [F.desc("n"), person], 1).select(message_id, person)
 
 
-def evidence_ids(df: DataFrame, case: str = "case_id", cap: int = 50) -> DataFrame:
-    """The case ids of a result, at most ``cap`` of them; empty if it has no such column."""
+def evidence_ids(df: DataFrame, case: str = "case_id", cap: int | None = None) -> DataFrame:
+    """The case ids of a result, with ``cap`` the smallest so many; empty if it has no such column."""
     if case not in df.columns:
         return df.sparkSession.createDataFrame([], f"{case} long")
-    return df.select(case).where(F.col(case).isNotNull()).limit(cap)
+    ids = df.select(case).where(F.col(case).isNotNull())
+    return ids if cap is None else ids.orderBy(case).limit(cap)
 
 
 def confidence(df: DataFrame, row_count: str = "row_count", repaired: str = "repaired") -> DataFrame:

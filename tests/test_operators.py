@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import fixed_values as fx
 from caseweave.operators import (clusters, detect, evaluate as ev, forecast as fc, govern, linkage as lk, neighbours as nb, ranking as rk,
                                  score, spatial, sqlgate, tagging, timeseries as ts)
-from caseweave.plans import lineage, sizing, views
+from caseweave.plans import lineage, views
 from test_functions import _km
 
 
@@ -137,10 +137,10 @@ def test_planted_series_is_found(spark):
     assert len(links) == 12 and all("vehicle:motorcycle" in r["shared_features"] for r in links)
 
 
-def test_block_limits_are_optional(spark):
+def test_small_blocks_are_left_out_and_large_ones_kept(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 10, "k string")
-    assert lk.blocks_in_range(df, "k", 4, None).count() == 10
-    assert lk.blocks_in_range(df, "k", 1, 5).count() == 3
+    assert lk.blocks_of_size(df, "k", 4).count() == 10
+    assert lk.blocks_of_size(df, "k", 1).count() == 13
 
 
 def test_protected_attributes_are_refused(spark):
@@ -224,7 +224,7 @@ def test_gate_runs_and_caps(spark):
     assert (out.row_count, out.truncated, out.columns) == (500, True, ["n"])
     out = sqlgate.run(spark, "WITH t AS (SELECT n FROM case_360 LIMIT 10) SELECT count(*) AS c FROM t UNION SELECT 1 FROM t", ALLOWED)
     assert out.row_count == 2 and not out.truncated
-    assert sqlgate.query(spark, "SELECT n FROM case_360", ALLOWED).count() == 500
+    assert sqlgate.query(spark, "SELECT n FROM case_360", ALLOWED).count() == 600  # whole; only run caps, and says so
     out = sqlgate.run(spark, "WITH a AS (SELECT n FROM case_360), b AS (SELECT n FROM a) SELECT max(n) AS m FROM b WHERE n IN (SELECT n FROM a)", ALLOWED)
     assert out.rows == [(599,)]
     out = sqlgate.run(spark, "WITH RECURSIVE r AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM r WHERE x < 5) SELECT sum(x) AS s FROM r", ALLOWED)
@@ -276,8 +276,15 @@ def test_checkpoint_folder_is_read_from_the_session(spark):
     assert lineage.cut(spark.range(3)).count() == 3
 
 
-def test_small_scans_are_spread_and_others_left_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert sizing.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == cores
-    many = spark.range(0, 100, 1, 3 * cores)
-    assert sizing.spread(many, "id") is many
+def test_names_of_any_length_are_found(spark):
+    texts = [(1, "Ravi Kumar met Bo and X"), (1, "kumar"), (2, ""), (3, None), (4, "x" * 5000 + "ravi kumar"), (5, "bob")]
+    names = [("p1", "Ravi Kumar"), ("p1", "Kumar"), ("p2", "Bo"), ("p3", "X"), ("p4", "Kumari"), ("p5", ""), ("p6", None), ("p7", "kumar"), ("p7", "kumar")]
+    want = sorted((i, p) for i, t in texts for p, n in set((p, n.lower()) for p, n in names if n) if n in (t or "").lower())
+    got = tagging.names_in_text(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame(names, "p string, name string"), "p", "name")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_evidence_ids_are_whole_or_the_smallest(spark):
+    df = spark.createDataFrame([(9,), (3,), (None,), (7,)], "case_id int")
+    assert sorted(r[0] for r in tagging.evidence_ids(df).collect()) == [3, 7, 9]
+    assert [r[0] for r in tagging.evidence_ids(df, cap=2).collect()] == [3, 7]
