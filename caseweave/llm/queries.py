@@ -26,7 +26,7 @@ def crc_of(doc_id: str, mod: int):
 
 @_query
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.scan(table(spark, folder, "documents"))
+    return license_scan.notices(table(spark, folder, "documents"))
 
 
 @_query

@@ -108,6 +108,24 @@ def test_license_scan_matches_brute_force(spark):
     assert {(r["doc_id"], r["license"], round(r["containment"], 9)) for r in got} == want and len(want) > 20
 
 
+def test_related_licenses_get_their_own_name(spark):
+    T = license_scan.TEMPLATES
+    families = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+    cases = [(f"before it {T[f'{k} header']} after it", f"{k} header") for k in families]
+    cases += [(f"x y {T[f'{k} text']} z", f"{k} text") for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT")]
+    cases += [(T["GPL-2 full text"], "GPL-2 full text"), (T["GPL-3 full text"], "GPL-3 full text")]
+    cases += [("Licensed under the BSD 3-Clause License.", "BSD-3-Clause line"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0 line"),
+              ("Licensed under the Mozilla Public License, version 2.0", "MPL-2.0 line"), (T["MIT line"], "MIT line"),
+              ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0 line"),
+              ("Released under the GNU Lesser General Public License v2.1", "LGPL-2.1 line")]
+    cases += [(f"{T['GPL-2.0 header']} {T['GPL-3.0 header']}", "GPL-2.0 header+GPL-3.0 header"),
+              (T["GPL-3.0 header"].replace("version 3", "version 4"), "")]
+    got = collections.defaultdict(set)
+    for r in license_scan.notices(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["license"].split(":")[0])
+    assert {i: "+".join(sorted(got[i] - {"all-rights-reserved"})) for i in range(len(cases))} == {i: name for i, (_, name) in enumerate(cases)}
+
+
 # 2 quality
 
 def test_quality_separates_junk(spark):
