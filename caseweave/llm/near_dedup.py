@@ -1,13 +1,14 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Shingles are runs of five words (bytes outside space and 09-0D), weighted by 1 + ln of how
-often the text repeats them. A register's winner is the element whose exponential arrival, of rate
-equal to its weight, comes first; two texts agree in a register with their probability
-Jaccard similarity. Elements draw arrivals of a Poisson process, each for one register, and
-stop once an arrival comes after the text's last register.
+Shingles are runs of five words (bytes outside space and 09-0D). A register's winner is the
+element whose exponential arrival, of rate equal to its weight, comes first; two texts agree
+in a register with their probability Jaccard similarity. Every distinct shingle weighs one
+here, however often the text repeats it, so that this is the Jaccard similarity of the sets,
+by which links are defined. Elements draw arrivals of a Poisson process, each for one
+register, and stop once an arrival comes after the text's last register.
 
 Two texts are linked if they share a band and the exact Jaccard similarity of their shingle
-sets (which the weights only approach where shingles repeat) reaches the threshold. Classes are the connected components of the links.
+sets reaches the threshold. Classes are the connected components of the links.
 
 Defined cases: equal texts share a class, also empty ones; null counts as empty; a text of
 one to four words is one shingle; a class is named by its smallest non-null id (null if it
@@ -29,22 +30,22 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
 MASK_LONGS = 32
-ROWS = 4  # at similarity 0.8 a pair shares none of 20 bands of 4 with probability 3e-5
+ROWS = 4  # at Jaccard similarity 0.8 a pair shares none of 20 bands of 4 with probability 3e-5
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _UNIT = 2.0 ** -53
 
 
-def weighted_shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, weight) of the distinct shingles of each row, by row and hash."""
+def distinct_shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the distinct shingles of each row, by row and hash."""
     start, end, row = words(buf, at)
     h, of = shingles(word_hashes(buf, start, end), row, len(at) - 1, WIDTH)
     if not len(h):
-        return h, of, np.zeros(0)
+        return h, of
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
-    return h[new], of[new], 1 + np.log(np.diff(np.concatenate((new, [len(h)]))))
+    return h[new], of[new]
 
 
 def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -74,8 +75,8 @@ def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int,
 def band_keys(buf: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(row x band key, has words) of one slice of texts."""
     n = len(at) - 1
-    h, of, weight = weighted_shingles(buf, at)
-    sig = prob_min_hash(h, of, weight, n, bands * rows).reshape(n, bands, rows)
+    h, of = distinct_shingles(buf, at)
+    sig = prob_min_hash(h, of, np.ones(len(h)), n, bands * rows).reshape(n, bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _STEP
     with np.errstate(over="ignore"):
         for k in range(rows):
@@ -116,12 +117,12 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sims = np.zeros(len(a))
             for first, end, buf, at in chunks(batch.column(2)):
-                h, of, _ = weighted_shingles(buf, at)
+                h, of = distinct_shingles(buf, at)
                 own = np.searchsorted(of, np.arange(end - first + 1))
                 for i in range(first, end):
                     if b[i] != last_b:  # rows come sorted by b or nearly so
                         _, _, bb, ba = next(chunks(batch.column(3).slice(i, 1)))
-                        last_b, sets_b = b[i], weighted_shingles(bb, ba)[0]
+                        last_b, sets_b = b[i], distinct_shingles(bb, ba)[0]
                     sims[i] = similarity(h[own[i - first]:own[i - first + 1]], sets_b)
             good = np.flatnonzero(sims >= threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(sims[good])],
@@ -138,7 +139,7 @@ def masks(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, at in chunks(batch.column(1)):
-                h, of, _ = weighted_shingles(buf, at)
+                h, of = distinct_shingles(buf, at)
                 mask = np.zeros((b - a, MASK_LONGS), np.uint64)
                 np.bitwise_or.at(mask, (of, ((h >> np.uint64(40)) % np.uint64(MASK_LONGS)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
                 ends = np.arange(0, mask.size + 1, MASK_LONGS, dtype=np.int32)
@@ -160,13 +161,13 @@ def _bound(a: str, b: str) -> Column:
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, key, class_id, links) per row of ``docs``, (key, rep, class_id, links, leads) per distinct text).
+    """((doc_id, key, class_id) per row of ``docs``, (key, rep, class_id, leads) per distinct text).
 
     First every band is a star: its members meet only the one that shares most bands with
     others. Then only bands that still hold several components form the pairs between those,
     and of them only those whose similarity the texts' bit masks do not bound below the
     threshold. So a large group of copies costs comparisons about in proportion to its size,
-    and no pair that could be linked is dropped.
+    and of the pairs that share a band none that could join two classes is dropped.
     """
     rows = signatures(docs, doc_id, text)
     one = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn(
@@ -197,13 +198,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     late = verify(cut(more.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, threshold)
     links = links.unionByName(late)
     parts = cut(components(links), "classes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    own = one.select("node", "key", "rep").join(parts, "node", "left").join(degree, "node", "left").withColumn(
+    own = one.select("node", "key", "rep").join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     name = own.groupBy("component").agg(F.min("rep").alias("class_id"))
-    members = cut(own.join(name, "component").select("key", "rep", "class_id", F.coalesce("links", F.lit(0)).alias("links"),
-                                                     (F.col("rep") == F.col("class_id")).alias("leads")), "members")
-    return rows.select("doc_id", "key").join(members.select("key", "class_id", "links"), "key"), members
+    members = cut(own.join(name, "component").select("key", "rep", "class_id", (F.col("rep") == F.col("class_id")).alias("leads")), "members")
+    return rows.select("doc_id", "key").join(members.select("key", "class_id"), "key"), members
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:

@@ -80,7 +80,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     classes, _ = near_dedup.near_classes(table(spark, folder, "documents"))
-    return classes.select("doc_id", "class_id", "links")
+    return classes.select("doc_id", "class_id")
 
 
 @_query

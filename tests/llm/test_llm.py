@@ -400,6 +400,18 @@ def test_near_classes_match_brute_force(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in sets})
 
 
+def test_repeated_passages_do_not_hide_near_copies():
+    """Plain Jaccard of at least 0.8, where one text repeats a block fifty times: all such pairs of a brute force share a band."""
+    texts = []
+    for g in range(200):
+        own, block = [f"w{g}x{j}" for j in range(404)], [f"b{g}x{j}" for j in range(70 + g % 25)]
+        texts += [" ".join(own), " ".join(own + block * 50)]
+    keys = np.concatenate([near_dedup.band_keys(buf, at)[0] for _, _, buf, at in arrow_text.chunks(pa.array(texts, pa.large_string()))])
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [i for i in range(0, 400, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 150 and all((keys[i] == keys[i + 1]).any() for i in near)
+
+
 def test_registers_agree_with_probability_jaccard():
     rng = np.random.default_rng(1)
     h = arrow_text.mix(np.arange(300, dtype=np.uint64))
