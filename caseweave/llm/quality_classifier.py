@@ -2,9 +2,10 @@
 
 Statistics of a text are counted in bytes with numpy and brought to a log scale. Each class
 has a mean and a covariance, shrunk towards the diagonal of the pooled one; sums for them
-are taken over all labelled training rows by Spark. A score is the difference of the two
-log densities, from Mahalanobis distances by Cholesky factors that are computed once,
-squeezed monotonically into 0 to 1.
+are taken over all labelled training rows by Spark. A text's margin is the difference of the
+two log densities, from Mahalanobis distances by Cholesky factors that are computed once. A
+score is the probability of label 1 by Platt's line through the margins of the training rows,
+fitted by Newton steps whose sums Spark takes, so that 0.5 parts likelier from less likely.
 
 Defined cases: null counts as empty, whose statistics are all zero; without training rows of
 both classes every score is 0.5; repeated rows are scored one by one; labels without a
@@ -20,16 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.lineage import cut
 from .arrow_text import chunks, shingles, word_hashes, words
 
 NAMES = ["words", "mean_word", "spread_word", "letters", "upper", "digits", "marks", "points", "exclaims", "lines", "distinct_words",
          "top_word", "echo", "repeated_runs", "repeated_lines"]
 SHRINKAGE = 0.2
 RIDGE = 1e-2
-#: Log-density differences are divided by this before the logistic function.
-SOFTNESS = 4.0
-#: Added to the log odds of label 1: rejecting a good document costs more than keeping a poor one.
-KEEP_BONUS = 12.0
+#: Margins are taken as at most FAR * tanh(margin / FAR) in the line, so that single rows far out do not rule it.
+FAR = 40.0
+TURNS = 12
+#: Ridge of the line's slope, in rows.
+LINE_RIDGE = 1.0
 _EPS = 1e-3
 
 
@@ -118,18 +121,24 @@ class Discriminant:
     means: np.ndarray
     factors: np.ndarray  # inverse Cholesky factors of the two covariances
     constants: np.ndarray  # log prior - log determinant / 2
+    slope: float = 1.0
+    offset: float = 0.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray) -> np.ndarray:
         logs = [c - ((x - m) @ f.T).__pow__(2).sum(1) / 2 for m, f, c in zip(self.means, self.factors, self.constants)]
-        return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0] + KEEP_BONUS) / SOFTNESS, -36, 36)))
+        return FAR * np.tanh((logs[1] - logs[0]) / FAR)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -36, 36)))
 
 
 def fit(measured: DataFrame, labels: DataFrame, use: Column, label: str = "quality") -> Discriminant | None:
-    """Sums over all training rows by class; two rows of sums reach the driver."""
+    """Sums over all training rows by class, then the line; rows of sums reach the driver."""
     d = len(NAMES)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
     x = [F.col("x")[i] for i in range(d)]
-    sums = measured.where(use).join(known, "doc_id").groupBy("y").agg(
+    rows = cut(measured.where(use).join(known, "doc_id").select("x", "y"), "training")
+    sums = rows.groupBy("y").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],
         *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)]).collect()
     by = {r["y"]: r for r in sums}
@@ -146,7 +155,48 @@ def fit(measured: DataFrame, labels: DataFrame, use: Column, label: str = "quali
         low = np.linalg.cholesky((1 - weight) * spread[c] + weight * pooled + RIDGE * np.eye(d))
         factors.append(np.linalg.inv(low))
         constants.append(np.log(n[c] / n.sum()) - np.log(low.diagonal()).sum())
-    return Discriminant(means, np.array(factors), np.array(constants))
+    return calibrate(rows, Discriminant(means, np.array(factors), np.array(constants)), n)
+
+
+def calibrate(rows: DataFrame, model: Discriminant, n: np.ndarray) -> Discriminant:
+    """Platt's line: a logistic fit of label on margin over ``rows`` (x, y) with ``n`` of each class; targets are smoothed as Platt's are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.margin(x)), batch.column(1).cast(pa.int32())], names=["m", "y"])
+
+    margins = cut(rows.mapInArrow(run, "m double, y int"), "margins")
+    low, high = 1 / (n[0] + 2), (n[1] + 1) / (n[1] + 2)
+    line = np.array([1.0, 0.0])
+
+    def loss_and_sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = F.col("m") * float(at[0]) + F.lit(float(at[1]))
+        t = F.when(F.col("y") == 1, F.lit(float(high))).otherwise(F.lit(float(low)))
+        p = 1 / (1 + F.exp(-z))
+        r, w = t - p, p * (1 - p)
+        m = F.col("m")
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+        s = margins.select(loss.alias("l"), (r * m).alias("a"), r.alias("b"), (w * m * m).alias("c"), (w * m).alias("d"), w.alias("e")).agg(
+            *[F.sum(k).alias(k) for k in "labcde"]).first()
+        gradient = np.array([s["a"] - LINE_RIDGE * (at[0] - 1.0), s["b"]])
+        return s["l"] + LINE_RIDGE * (at[0] - 1.0) ** 2 / 2, gradient, np.array([[s["c"] + LINE_RIDGE, s["d"]], [s["d"], s["e"] + 1e-6]])
+
+    loss, gradient, curve = loss_and_sums(line)
+    for _ in range(TURNS):
+        step = np.linalg.solve(curve, gradient)
+        while True:  # halved until the loss falls
+            new = line + step
+            new_loss, new_gradient, new_curve = loss_and_sums(new)
+            if new_loss <= loss or np.abs(step).max() < 1e-6:
+                break
+            step = step / 2
+        done = loss - new_loss < 1e-4
+        if new_loss <= loss:
+            line, loss, gradient, curve = new, new_loss, new_gradient, new_curve
+        if done:
+            break
+    model.slope, model.offset = float(max(line[0], 1e-6)), float(line[1])
+    return model
 
 
 def with_score(measured: DataFrame, model: Discriminant | None) -> DataFrame:

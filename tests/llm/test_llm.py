@@ -146,6 +146,20 @@ def test_quality_separates_junk(spark):
     assert all(0 <= s <= 1 for s in score.values())
 
 
+def test_quality_scores_are_calibrated(spark):
+    """Two overlapping groups, half of each label: half of the documents a score over 0.5 and both classes recalled alike."""
+    rng = np.random.default_rng(3)
+    y = np.arange(3000) % 2
+    x = rng.normal(size=(3000, len(quality_classifier.NAMES))) + 0.35 * y[:, None]
+    measured = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality_classifier.fit(measured, labels, F.col("doc_id") % 3 != 1)
+    held = np.arange(3000) % 3 == 1
+    score = model.score(x[held])
+    good, poor = (score[y[held] == 1] >= 0.5).mean(), (score[y[held] == 0] < 0.5).mean()
+    assert good > 0.6 and poor > 0.6 and abs(score.mean() - 0.5) < 0.05
+
+
 # 3 WARC
 
 def test_warc_round_trip(spark):
