@@ -28,18 +28,23 @@ MIN_GROUP = 100
 
 @dataclass(frozen=True)
 class Fence:
-    """Limits at quartile -/+ max(spread * interquartile range, slack); no lower limit if ``low`` is false."""
+    """Limits at quartile -/+ max(spread * interquartile range, slack); no lower limit if ``low`` is false.
+
+    With ``over``, the upper limit of a group is at most that much above the one of the next wider level.
+    """
     slack: float
     spread: float = 4.0
     low: bool = False
+    over: float | None = None
 
 
-#: ``slack`` keeps a group in which nearly all values agree from rejecting small deviations.
+#: ``slack`` keeps a group in which nearly all values agree from rejecting small deviations. Of 3,243 good documents of
+#: sf0.1 that pass the base rules, the worst has 0.33 of its lines and 0.28 of its words repeated.
 FENCES: Mapping[str, Fence] = {
     "mean_word": Fence(slack=1.5, low=True),
     "symbol_ratio": Fence(slack=0.2),
-    "dup_line_ratio": Fence(slack=0.6),
-    "repeat_ratio": Fence(slack=0.35),
+    "dup_line_ratio": Fence(slack=0.35, spread=2.0, over=0.1),
+    "repeat_ratio": Fence(slack=0.3, spread=2.0, over=0.05),
 }
 
 
@@ -138,7 +143,16 @@ def limits(by_group: DataFrame) -> DataFrame:
     row = fences(merged(), "every").select("every.*").first()  # nulls if no document passes the base rules
     every = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in row.asDict().items()])
     joined = own.join(per_lang, F.col("lang").eqNullSafe(F.col("lang2")))
-    enough = lambda name: F.when(F.col(f"{name}_n") >= MIN_GROUP, F.col(name))
+    def bound(name: str, wider: Column) -> Column:
+        """``name``'s limits, none of them far over those of ``wider``; a null limit stays null."""
+        return F.struct(*[F.least(F.col(f"{name}.{k}_high"), wider[f"{k}_high"] + F.lit(f.over)).alias(f"{k}_high") if side == "high" and f.over is not None
+                          else F.col(f"{name}.{k}_{side}").alias(f"{k}_{side}") for k, f in FENCES.items() for side in ("high", "low")])
+
+    def enough(name: str) -> Column:
+        return F.when(F.col(f"{name}_n") >= MIN_GROUP, F.col(name))
+
+    joined = joined.withColumn("per_lang", bound("per_lang", every))
+    joined = joined.withColumn("own", bound("own", F.coalesce(enough("per_lang"), every)))
     return joined.select("lang", "source", F.coalesce(enough("own"), enough("per_lang"), every).alias("limits"))
 
 

@@ -392,6 +392,29 @@ def test_limits_are_the_sketches_quantiles(spark):
         assert abs(got[s]["mean_word_high"] - (high + max(f.spread * (high - low), f.slack))) < 0.2
 
 
+def test_repeating_documents_are_kept_out(spark):
+    """Rejects per rule on labelled rows: 60 % repeated lines, 30 % repeated words, also where a whole source is like that."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, kind = [], {}
+    for i in range(900):
+        lines = [prose(rng, 12, vocabulary) for _ in range(10)]
+        kind[i] = "good"
+        junky = i % 2 == 0  # source s0 holds a third of poor documents
+        if junky and i % 6 == 0:
+            kind[i] = "lines"
+            lines += [rng.choice(vocabulary)] + ["menu"] * 16
+        elif not junky and i % 20 == 1:
+            kind[i] = "words"
+            lines += [" ".join(lines[:2])]
+        rows.append((i, "\n".join(lines), "en", f"s{int(not junky)}", 0, "", ""))
+    judged = quality_rules.judge(quality_rules.measure_documents(spark.createDataFrame(rows, DOCS))).select(
+        "doc_id", "kept", "base_failed").collect()
+    share = {k: np.mean([r["kept"] for r in judged if kind[r["doc_id"]] == k]) for k in ("good", "lines", "words")}
+    assert not any(r["base_failed"] for r in judged)
+    assert share["good"] >= 0.99 and share["lines"] == 0 and share["words"] == 0
+
+
 # 8 near duplicates
 
 def test_near_classes_match_brute_force(spark, corpus):
