@@ -347,6 +347,25 @@ def test_samples_follow_the_lattice_distribution():
         assert abs(inclusion[ids] - 1) < 0.35  # inverse inclusion scores are unbiased
 
 
+def test_eight_samples_follow_the_lattice():
+    """k = 8 and k = 64 against the enumerated lattice: no segmentation is lost, and inverse inclusion scores are unbiased."""
+    vocab = small_vocabulary()
+    few = all_segmentations("a b c d e f", vocab)
+    for key in range(10):
+        got, _, _ = draw("a b c d e f", key, vocab, len(few))
+        assert {g[0] for g in got} == set(few) and len(got) == len(few) == 64
+    want, inclusion, n = all_segmentations("cats", vocab), collections.Counter(), 2000
+    for key in range(n):
+        got, rest, same = draw("cats", key, vocab, 8)
+        assert all(same) and len({g[0] for g in got}) == min(8, len(want))
+        assert [g[2] for g in got] == sorted((g[2] for g in got), reverse=True) and got[-1][2] >= rest
+        for ids, log_p, _ in got:
+            assert abs(log_p - want[ids]) < 1e-6
+            inclusion[ids] += 1 / math.exp(subwords.log_inclusion(log_p, rest)) / n
+    for ids in sorted(want, key=want.get)[-6:]:
+        assert abs(inclusion[ids] - 1) < 0.2
+
+
 def test_samples_decode_to_the_text(spark):
     rows = subwords.sample(odd_documents(spark), PIECES).collect()
     assert all(r["round_trip"] for r in rows)
