@@ -228,7 +228,7 @@ def test_subsequence_kernel_matches_its_definition():
         return out
     dot = lambda a, b: sum(v * b[k] for k, v in a.items())
     marks = ["idiot", "banana", "xyz"]
-    got = toxicity.kernel(["idiots", "i-diot", "bananabana", "qq", "a"], np.ascontiguousarray(toxicity.dense(marks).T))
+    got = toxicity.kernel(["idiots", "i-diot", "bananabana", "qq", "a"], toxicity.Landmarks.of(toxicity.dense(marks)))
     for i, a in enumerate(["idiots", "i-diot", "bananabana", "qq", "a"]):
         for j, b in enumerate(marks):
             x, y = features(a), features(b)
