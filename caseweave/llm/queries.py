@@ -1,11 +1,11 @@
-"""The ten operators bound to the given tables."""
+"""The operators bound to the given tables."""
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
-from . import fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
+from . import centroid_clusters, fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -95,3 +95,31 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.with_language(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(crc_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"),
         "language.score", "language.ambiguous")
+
+
+@_query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters.cluster_table(table(spark, folder, "embeddings"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every round as two common tables: who is nearest, and where the centroids move."""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, v AS c FROM v
+QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, first(v) AS v, min({{'d': d, 'k': k}}) AS best FROM (
+SELECT vec_id, v, k, list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d FROM v, c{r}) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+SELECT k, list(s ORDER BY i) AS c FROM (SELECT best.k AS k, i, floor(sum(v[i]) / count(*)) AS s FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY ALL)
+GROUP BY k) m ON m.k = c{r}.k)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = best.k"""
+
+
+ORACLE["op13_centroid_clusters"] = _clusters_sql()
