@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
-from . import centroid_clusters, fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
+from . import centroid_clusters, conversation_repair, fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -97,6 +97,68 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "language.score", "language.ambiguous")
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
+
+
+def _repair_sql() -> str:
+    """The program as a fold over the rows of a conversation; every cell holds cost, audit and repaired lines, so least() breaks ties.
+
+    CRC-32 is folded bit by bit with its polynomial.
+    """
+    none = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+    def add(cell: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{edit}', 'r': {cell}.r || {line}}}"
+
+    def put(cell: str, role: str) -> str:
+        return add(cell, "2", "I", f"chr(10) || '{role}:'")
+
+    def keep(cell: str, initial: str) -> str:
+        return f"CASE WHEN x.f < 2 AND x.i = '{initial}' THEN {add(cell, 'x.f', 'K', 'chr(10) || x.role || chr(58) || x.text')} ELSE {none} END"
+
+    def rerole(cell: str, role: str) -> str:
+        return f"CASE WHEN x.f < 2 THEN {add(cell, '2 + x.f', 'R', f"chr(10) || '{role}:' || x.text")} ELSE {none} END"
+
+    def inserted(base: str) -> str:
+        once = f"least({base}.u, {put(f'{base}.n', 'user')}, {put(f'{base}.s', 'user')})"
+        return (f"list_transform([{{'b': {base}, 'u': {once}}}], lambda z: {{'n': z.b.n, 's': z.b.s, "
+                f"'u': least(z.u, {put('z.b.a', 'user')}), 'a': least(z.b.a, {put('z.u', 'assistant')})}})[1]")
+
+    rows = {"n": add("y.n", "3", "D"),
+            "s": f"least({add('y.s', '3', 'D')}, {keep('y.n', 's')})",
+            "u": f"least({add('y.u', '3', 'D')}, {', '.join(f(c, w) for c in ('y.n', 'y.s', 'y.a') for f, w in ((keep, 'u'), (rerole, 'user')))})",
+            "a": f"least({add('y.a', '3', 'D')}, {keep('y.u', 'a')}, {rerole('y.u', 'assistant')})"}
+    step = "list_transform([{" + ", ".join(f"'{c}': {v}" for c, v in rows.items()) + f"}}], lambda b: {inserted('b')})[1]"
+    empty = "{'c': 0, 'a': '', 'r': ''}"
+    start = f"list_transform([{{'n': {empty}, 's': {none}, 'u': {none}, 'a': {none}}}], lambda b: {inserted('b')})[1]"
+    crc = """xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+  lambda ch: CAST(ascii(ch) AS BIGINT)), lambda h, byte: list_reduce(range(8), lambda v, bit: xor(v >> 1, 3988292384 * (v & 1)), xor(h, byte)),
+  4294967295), 4294967295)"""
+    gap = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS draw FROM conversations),
+damaged AS (SELECT conv_id, turn, copy, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+  CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, range(2) t(copy) WHERE draw <> 0 AND (copy = 0 OR draw = 3)),
+flagged AS (SELECT *, substr(role, 1, 1) AS i, rtrim(text, {gap}) AS body,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+turns AS (SELECT *, CASE WHEN body = '' THEN 2 WHEN nth > 1 THEN 3 WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS f,
+  lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM flagged),
+per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 2) AS blank,
+  count(*) FILTER (f = 3) AS duplicate, count(*) FILTER (f = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list_reduce(list({{'i': i, 'f': f, 'role': role, 'text': text}} ORDER BY pos), lambda y, x: {step}, {start}) AS cells FROM turns GROUP BY conv_id),
+ends AS (SELECT *, least(cells.n, cells.a) AS best FROM per)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLE["op11_conversation_repair"] = _repair_sql()
+
+
 @_query
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroid_clusters.cluster_table(table(spark, folder, "embeddings"))
