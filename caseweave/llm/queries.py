@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
-from . import centroid_clusters, conversation_repair, fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, subwords, toxicity, warc
+from . import centroid_clusters, conversation_repair, fingerprints, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, shingle_join, subwords, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -159,6 +159,24 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_i
 ORACLE["op11_conversation_repair"] = _repair_sql()
 
 
+@_query
+def op12_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.join_documents(table(spark, folder, "documents"))[0]
+
+
+ORACLE["op12_shingle_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+s AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL)
+  WHERE 100 * c >= 80 * (na + nb - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, len(d.s) AS n_shingles, r.component_id FROM sets d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+
 @_query
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroid_clusters.cluster_table(table(spark, folder, "embeddings"))
