@@ -9,8 +9,8 @@ intersection of the sorted hash arrays.
 
 Keys are exact consequences of the threshold. A set A that links with B lacks at most
 floor((1 - t) |A|) of its shingles in B. So a set with more shingles than that which occur
-in no other set is dropped (first by the hashes below a fixed share of the hash range, then
-by all), and of the others the rarest shingles, one more than may be lacking, are its keys.
+in no other set is dropped (first by the hashes below a fixed share of the hash range, where
+copies count as others, then by all hashes of distinct sets), and of the others the rarest shingles, one more than may be lacking, are its keys.
 
 Equal sets are one node. The members of a key first meet only one of them; then only
 members that are still in different components meet in tiles, so a large group of copies
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.clusters import components
-from ..plans.lineage import cut
+from ..plans.lineage import Rounds, cut
 from .arrow_text import chunks, mix, shingles, word_hashes, words
 
 WIDTH = 5
 PERCENT = 80
 SAMPLE = 0.3  # share of the hash range by which sets are first sifted
+BROADCAST_ROWS = 500_000  # of 24 bytes each
 TILE = 512  # sets of one side of a tile, about
 MASK_BITS = (512, 16384)
 
@@ -76,7 +77,7 @@ def keyed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, text_key, n, k0, k1, sample, row) per document as a table: set size, 128 bits that name the set, and its lowest hashes."""
+    """(doc_id, text_key, n, k0, k1, sample, row) per document: set size, 128 bits that name the set, and its lowest hashes."""
     top = np.uint64(int(SAMPLE * 2.0 ** 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     made = keyed(docs, text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(
         run, "doc_id long, text_key binary, n long, k0 long, k1 long, sample array<long>")
-    return cut(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def full_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -116,15 +117,19 @@ def lacking(n: Column, percent: int) -> Column:
     return F.floor((100 - percent) * n / F.lit(100)).cast("long")
 
 
-def sifted(sets: DataFrame, hashes: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((h, node, df) of hashes that several sets have, (node, n, alone) of the sets with few enough ``hashes`` that no other has)."""
+def common_hashes(sets: DataFrame, hashes: str) -> DataFrame:
+    """(h, node, df) of the hashes that several sets have."""
     each = sets.select("node", F.explode(hashes).alias("h"))
     df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = cut(each.join(df, "h").select("h", "node", "df"), "common")
+    return each.join(df, "h").select("h", "node", "df")
+
+
+def sifted(sets: DataFrame, hashes: str, common: DataFrame, percent: int) -> DataFrame:
+    """(node, n, alone) of the sets of which few enough ``hashes`` are theirs alone."""
     shared = common.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     alone = F.col("all") - F.coalesce("shared", F.lit(0))
     few = sets.select("node", "n", F.size(hashes).alias("all")).join(shared, "node", "left").withColumn("alone", alone)
-    return common, few.where(F.col("alone") <= lacking(F.col("n"), percent)).select("node", "n", "alone")
+    return few.where(F.col("alone") <= lacking(F.col("n"), percent)).select("node", "n", "alone")
 
 
 def band_of(n: Column, percent: int) -> Column:
@@ -279,7 +284,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def keys_of(sets: DataFrame, percent: int) -> DataFrame:
     """(h, node, band, size): the keys of the sets that may link; ``size`` sets have the key."""
-    common, few = sifted(sets, "hashes", percent)
+    common = cut(common_hashes(sets, "hashes"), "common")
+    few = sifted(sets, "hashes", common, percent)
     nth = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
     keys = common.join(few, "node").withColumn("nth", nth).where(F.col("nth") + F.col("alone") <= lacking(F.col("n"), percent) + 1)
     keys = cut(keys.select("h", "node", band_of(F.col("n"), percent).alias("band")), "keys")
@@ -310,13 +316,18 @@ def linked(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) -> tuple[D
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
                    tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n_shingles, component_id) per document, links between representatives of equal sets, see linked)."""
-    rows = sketches(docs, doc_id, text, width)
+    scratch = Rounds(docs.sparkSession, "sketches")
+    rows = scratch.cut(sketches(docs, doc_id, text, width))
     same = rows.where("n > 0").groupBy("k0", "k1", "n").agg(F.min("row").alias("node"))
-    own = cut(rows.select("doc_id", "row", "n", "k0", "k1").join(same, ["k0", "k1", "n"], "left").select("doc_id", "row", "n", "node"), "nodes")
-    leads = rows.join(own.where("row = node").select("row"), "row", "left_semi").withColumnRenamed("row", "node")
-    _, few = sifted(leads.select("node", "n", "sample"), "sample", percent)
-    few = leads.select("node", "text_key").join(few.select("node"), "node", "left_semi")
-    texts = keyed(docs, text).join(few, "text_key").select("node", "text").dropDuplicates(["node"])
+    own = cut(rows.select("doc_id", "text_key", "row", "n", "k0", "k1").join(same, ["k0", "k1", "n"], "left").select(
+        "doc_id", "text_key", "row", "n", "node"), "nodes")
+    each = rows.where("n > 0").select(F.col("row").alias("node"), "n", "sample")
+    few = sifted(each, "sample", common_hashes(each, "sample"), percent).select("node")
+    few = cut(own.where("row = node").select("node", "text_key").join(few, "node", "left_semi"), "few")
+    scratch.close()
+    # a short list goes to the texts, else both are dealt out by key
+    wanted = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    texts = keyed(docs, text).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
     sets = cut(full_sets(texts, width), "sets")
     links, parts = linked(sets, percent, tile)
     placed = cut(own.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
