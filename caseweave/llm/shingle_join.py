@@ -40,7 +40,7 @@ PERCENT = 80
 SAMPLE = 0.3  # share of the hash range by which sets are first sifted
 BROADCAST_ROWS = 500_000  # of 24 bytes each
 TILE = 512  # sets of one side of a tile, about
-MASK_BITS = (512, 16384)
+MASK_BITS = (512, 32768)
 
 
 def lower(buf: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def bitmap(h: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(n: int) -> int:
-    return min(MASK_BITS[1], max(MASK_BITS[0], 1 << int(2 * n - 1).bit_length()))
+    return min(MASK_BITS[1], max(MASK_BITS[0], 1 << int(8 * n - 1).bit_length()))
 
 
 def folded(mask: np.ndarray, words_: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def may_link(na: np.ndarray, ma: np.ndarray, nb: np.ndarray, mb: np.ndarray, per
 
 
 def with_masks(sets: DataFrame) -> DataFrame:
-    """(node, n, mask): the bitmap is about twice as wide as the set is large."""
+    """(node, n, mask): the bitmap has eight to sixteen bits for every hash, as far as MASK_BITS goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, own = arrays(batch.column(2))
