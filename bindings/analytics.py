@@ -259,18 +259,29 @@ q("n4_intent", f"SELECT conv_id, turn, intent, CASE WHEN intent = 'forecast' THE
     lambda s, d: tagging.intent(m.table(s, d, "conversations"), "text", {"district": DISTRICTS, "sub_head": SUBHEADS},
                                 {"district": "the", "sub_head": "er"}, KEYWORDS).select("conv_id", "turn", "intent", "district", "sub_head"))
 
-NAMES_SQL = "(SELECT item_id AS person_key, lower(regexp_extract(text, '[A-Za-z]+')) AS name FROM benchmark)"
+NAMES_SQL = "(SELECT s_suppkey AS person_key, lower(s_name) AS name FROM supplier)"
+#: Messages that speak of a supplier: every text ends with the name of one.
+MESSAGES_SQL = """(SELECT c.conv_id, c.turn, c.text || ' Seen with ' || s.s_name || '.' AS text FROM conversations c
+  JOIN supplier s ON s.s_suppkey = (c.conv_id * 31 + c.turn * 7) % (SELECT max(s_suppkey) + 1 FROM supplier))"""
 
 
 def _names(s, d):
-    return m.table(s, d, "benchmark").select(F.col("item_id").alias("person_key"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("name"))
+    return m.table(s, d, "supplier").select(F.col("s_suppkey").alias("person_key"), F.lower("s_name").alias("name"))
 
 
-_messages = lambda s, d: m.table(s, d, "conversations").withColumn("msg_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-q("j10_names_in_text", f"SELECT conv_id || '-' || turn AS msg_id, person_key FROM conversations JOIN {NAMES_SQL} ON length(name) > 0 AND contains(lower(text), name)")(
+def _messages(s, d):
+    suppliers = m.table(s, d, "supplier")
+    above = suppliers.agg(F.max("s_suppkey") + 1).scalar()
+    talk = m.table(s, d, "conversations").withColumn("s_suppkey", (F.col("conv_id") * 31 + F.col("turn") * 7) % above)
+    return talk.join(suppliers.select("s_suppkey", "s_name"), "s_suppkey").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
+        F.concat("text", F.lit(" Seen with "), "s_name", F.lit(".")).alias("text"))
+
+
+q("j10_names_in_text", f"SELECT conv_id || '-' || turn AS msg_id, person_key FROM {MESSAGES_SQL} JOIN {NAMES_SQL} ON length(name) > 0 AND contains(lower(text), name)")(
     lambda s, d: tagging.names_in_text(_messages(s, d), "msg_id", "text", _names(s, d), "person_key", "name"))
 q("n5_resolve_name", f"SELECT msg_id, person_key FROM (SELECT conv_id || '-' || turn AS msg_id, person_key, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(n, 0) DESC, "
-                     f"person_key) AS r FROM conversations JOIN {NAMES_SQL} ON length(name) > 0 AND contains(lower(text), name) LEFT JOIN (SELECT l_suppkey AS person_key, count(*) AS n FROM lineitem "
+                     f"person_key) AS r FROM {MESSAGES_SQL} JOIN {NAMES_SQL} ON length(name) > 0 AND contains(lower(text), name) LEFT JOIN (SELECT l_suppkey AS person_key, count(*) AS n FROM lineitem "
                      f"GROUP BY 1) USING (person_key)) WHERE r = 1")(
     lambda s, d: tagging.resolve_name(_messages(s, d), "msg_id", "text", _names(s, d), "person_key", "name",
                                       m.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("person_key")).agg(F.count(F.lit(1)).alias("n"))))

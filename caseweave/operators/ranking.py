@@ -59,6 +59,13 @@ def capped(df: DataFrame, cap: int) -> tuple[DataFrame, bool]:
     return probe.where(F.col("_nth") < cap).drop("_nth"), probe.count() > cap
 
 
+def with_truncated(df: DataFrame, cap: int, name: str = "truncated") -> DataFrame:
+    """At most ``cap`` rows, each with a column that tells whether there were more; Spark counts the rows up to cap + 1."""
+    probe = cut(df.limit(cap + 1).withColumn("_nth", F.monotonically_increasing_id()), "capped")
+    more = probe.agg((F.count(F.lit(1)) > cap).alias("_more"))
+    return probe.where(F.col("_nth") < cap).drop("_nth").withColumn(name, more.scalar())
+
+
 def two_phase_top(df: DataFrame, coarse: Sequence[Column | str], prefilter: int | None, score: Column,
                   k: int, tie: Sequence[str], name: str = "score") -> DataFrame:
     """Keep ``prefilter`` rows by a cheap order (None keeps all), score them, keep the k best."""
