@@ -212,9 +212,45 @@ def _rescan(s, d):
     return s.read.parquet(path).orderBy(F.desc("confidence"))
 
 
+FOREST_LEVELS = (0.80, 0.85, 0.90)
+
+
+@q("l5_forest_components", m.sql("SELECT t AS threshold, case_id, component FROM at_level -- case_360", LINKED_CTE + f"""
+,
+level_sym AS (SELECT t, a AS x, b AS y FROM linked, (VALUES {', '.join(f'({t}::DOUBLE)' for t in FOREST_LEVELS)}) v(t) WHERE score >= t UNION SELECT t, b, a FROM linked, (VALUES {', '.join(f'({t}::DOUBLE)' for t in FOREST_LEVELS)}) v(t) WHERE score >= t),
+level_reach AS (SELECT t, x, x AS y FROM (SELECT DISTINCT t, x FROM level_sym) UNION SELECT r.t, r.x, s.y FROM level_reach r JOIN level_sym s ON s.t = r.t AND s.x = r.y),
+at_level AS (SELECT t, x AS case_id, min(y) AS component FROM level_reach GROUP BY t, x)"""))
+def _forest_components(s, d):
+    """The spanning forest alone gives the components of all linked pairs at every level."""
+    _, linked = _linked(s, d)
+    forest = hierarchy.spanning_forest(linked.select("a", "b", (1.0 - F.col("score")).alias("d")))
+    out = None
+    for t in FOREST_LEVELS:
+        part = clusters.components(forest.where(F.col("d") <= 1.0 - t), "a", "b", node="case_id").select(F.lit(t).alias("threshold"), "case_id", "component")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _clusters(s, d):
+    """(open cases, scored pairs, members of the clusters selected from the hierarchy of all scored pairs)"""
+    df = cut(open_cases(s, d), "open-cases")
+    pairs = cut(lk.score_pairs(lk.candidate_pairs(df), df), "scored")
+    found = hierarchy.hierarchy(pairs, df.select(F.col("case_id").alias("node"), "crime_sub_head"), block="crime_sub_head")
+    return df, pairs, cut(found.select(F.col("node").alias("case_id"), F.col("cluster").alias("component")), "members")
+
+
 @q("l5_hierarchy")
 def _hierarchy(s, d):
-    """Clusters selected from the hierarchy of all scored pairs (checked against brute force in the tests)."""
-    df = cut(open_cases(s, d), "open-cases")
-    pairs = lk.score_pairs(lk.candidate_pairs(df), df)
-    return hierarchy.hierarchy(pairs, df.select(F.col("case_id").alias("node"), "crime_sub_head"), block="crime_sub_head")
+    """Checked against brute force in the tests."""
+    return _clusters(s, d)[2].select(F.col("case_id").alias("node"), F.col("component").alias("cluster"))
+
+
+@q("l9_hierarchy_series")
+def _hierarchy_series(s, d):
+    """Named series of the hierarchy's clusters with their confidence, summary and number of evidence links."""
+    df, pairs, members = _clusters(s, d)
+    conf = lk.confidence(members, pairs).withColumn("confidence", F.round("confidence", 6))
+    series = cut(lk.assign_ids(lk.summarise(members, df).drop("size").join(conf, "component")), "series")
+    best = lk.member_pairs(members, df).withColumn("cosine", F.round("cosine", 9))
+    links = lk.evidence_links(best, df).groupBy("component").agg(F.count(F.lit(1)).alias("links"))
+    return series.join(links, "component", "left").select("series_id", "component", "size", "confidence", "name", "summary", "links")

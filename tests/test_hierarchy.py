@@ -106,6 +106,48 @@ def test_equals_recursion(spark, seed, slab, m, eps):
     weights = {k: 1.0 - (1.0 - d) for k, d in weights.items()}
     nodes = spark.range(len(pts)).withColumnRenamed("id", "node")
     got = {}
-    for r in hi.hierarchy(df, nodes, min_size=m, epsilon=eps, slab=slab, group=400).collect():
+    for r in hi.hierarchy(df, nodes, min_size=m, epsilon=eps, slab=slab).collect():
         got.setdefault(r["cluster"], set()).add(r["node"])
     assert {frozenset(v) for v in got.values()} == _brute(len(pts), weights, m, eps)
+
+
+def test_spanning_forest_equals_kruskal(spark):
+    rng = random.Random(9)
+    edges = {(a, b): rng.choice([0.1, 0.2, 0.3, 0.4]) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(260)) if a < b}
+    edges.update({(100 + i, 101 + i): 0.5 for i in range(40)})  # a chain of ties
+    edges[(300, 301)] = 0.9
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    want = set()
+    for d, a, b in sorted((d, a, b) for (a, b), d in edges.items()):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.add((a, b, d))
+    rows = [(b, a, d) if i % 3 else (a, b, d) for i, ((a, b), d) in enumerate(edges.items())] + [(5, 5, 0.0), (300, 301, 0.95)]
+    df = spark.createDataFrame(rows, "a long, b long, d double")
+    assert {tuple(r) for r in hi.spanning_forest(df).collect()} == want
+    assert hi.spanning_forest(df.where("false")).count() == 0
+
+
+def test_series_of_the_given_tables_equal_recursion(spark):
+    """All open cases of the smallest tables, block by block."""
+    from bindings import linking
+    df, pairs, members = linking._clusters(spark, "/root/testdata/sf0.001")
+    block = {r["case_id"]: r["crime_sub_head"] for r in df.select("case_id", "crime_sub_head").collect()}
+    got, scored = {}, {}
+    for r in members.collect():
+        got.setdefault(r["component"], set()).add(r["case_id"])
+    for r in pairs.select("block", "a", "b", "score").collect():
+        scored.setdefault(r["block"], []).append((r["a"], r["b"], min(1.0, max(0.0, 1.0 - r["score"]))))
+    want = set()
+    for name, rows in scored.items():
+        ids = sorted(c for c, b in block.items() if b == name)
+        at = {c: i for i, c in enumerate(ids)}
+        weights = {(at[a], at[b]): d for a, b, d in rows}
+        want |= {frozenset(ids[i] for i in part) for part in _brute(len(ids), weights, 4, 0.35)}
+    assert {frozenset(v) for v in got.values()} == want
