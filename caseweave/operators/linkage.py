@@ -1,11 +1,15 @@
 """Record linkage: features, candidate pairs, scores, series and their evidence.
 
-Pairs are proposed by equality only: block, the features a pair cannot do without, a date
-bucket and a place cell. All of these are exact consequences of the limits and the score
-threshold, so no candidate is lost and no block is compared all against all.
+Pairs are proposed by equality only: block, features, a date bucket and a place cell. The
+score threshold says which sets of features may differ and how far apart a pair may then
+lie; each such pattern is one join on all other features, and no pair fits two patterns.
+All keys are exact consequences of the limits and the threshold, so no candidate is lost
+and no block is compared all against all. Rows of a crowded cell are dealt over a grid.
 """
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -82,10 +86,38 @@ def _match(a: Column, b: Column) -> Column:
     return F.coalesce((_present(a) == _present(b)).cast("double"), F.lit(0.0))
 
 
-def indispensable(rules: Rules, features: Sequence[str], threshold: float) -> list[str]:
-    """Features without which even a pair equal in everything else stays below the threshold."""
+@dataclass(frozen=True)
+class Pattern:
+    """Features in which a pair agrees and differs, and the distance up to which it can reach the threshold then."""
+    same: tuple[str, ...]
+    differ: tuple[str, ...]
+    km: float
+
+
+def mismatch_patterns(rules: Rules, features: Sequence[str], threshold: float) -> list[Pattern]:
+    """The disjoint patterns that together hold every pair that can reach the threshold.
+
+    A feature without weight decides nothing and is in no pattern. Two patterns of one
+    distance that differ in a single feature become one that does not look at it, so where
+    the threshold rules out nothing one pattern without features remains.
+    """
+    weighed = [f for f in features if rules.weights.get(f, 0.0) > 0]
     total = sum(rules.weights.values())
-    return [f for f in features if total - rules.weights.get(f, 0.0) < threshold - 1e-9]
+    found = []
+    for n in range(len(weighed) + 1):
+        for differ in itertools.combinations(weighed, n):
+            lost = sum(rules.weights[f] for f in differ)
+            if total - lost >= threshold - 1e-9:
+                found.append(Pattern(tuple(f for f in weighed if f not in differ), differ, _reach_km(rules, threshold + lost)))
+    for f in weighed:
+        merged = []
+        for p in found:
+            twin = next((x for x in found if x.km == p.km and set(x.differ) ^ set(p.differ) == {f} and set(x.same) ^ set(p.same) == {f}), None)
+            p = p if twin is None else Pattern(tuple(x for x in p.same if x != f), tuple(x for x in p.differ if x != f), p.km)
+            if p not in merged:
+                merged.append(p)
+        found = merged
+    return found
 
 
 def _reach_km(rules: Rules, threshold: float) -> float:
@@ -97,40 +129,72 @@ def _reach_km(rules: Rules, threshold: float) -> float:
     return rules.max_km if slack >= 1 else min(rules.max_km, max(0.001, slack * rules.scale_km * (1 + 1e-9)))
 
 
-def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rules(), threshold: float = 0.0) -> DataFrame:
-    """Feasible pairs a < b of one block with their day and km gaps and feature matches.
+#: Rows of one cell that one task of a join takes.
+CELL_ROWS = 4096
+
+
+def _gridded(early: DataFrame, late: DataFrame, early_key: Sequence[str], late_key: Sequence[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``part``: a cell's late rows are dealt over parts of about ``rows``, and its early rows go to each part.
 
-    Every pair is met once: both records carry their block, indispensable features, date
-    bucket (as wide as the day limit) and cell (as wide as the km limit); the earlier one
-    looks into its own and the next bucket and into the nine cells around it.
+    Early rows without any late row in their cell go nowhere.
     """
-    refuse_denied(fields.features)
-    must = indispensable(rules, fields.features, threshold)
-    km = _reach_km(rules, threshold)
-    rows = blocks_of_size(df, fields.block, rules.min_block).where(
-        F.col(fields.date).isNotNull() & F.col(fields.lat).isNotNull() & F.col(fields.lon).isNotNull())
-    rows = rows.select(
-        F.col(fields.key).alias("id"), F.col(fields.block).alias("block"), F.col(fields.date).cast("date").alias("day"),
-        F.col(fields.lat).alias("lat"), F.col(fields.lon).alias("lon"), *[F.col(f) for f in fields.features],
-        F.floor(F.unix_date(F.col(fields.date).cast("date")) / (rules.max_days + 1)).cast("long").alias("bucket"))
-    for f in must:
+    parts = late.groupBy(*late_key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    dealt = late.join(parts, list(late_key)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    there = parts.select(*[F.col(c).alias(e) for c, e in zip(late_key, early_key)], "parts")
+    copied = early.join(there, list(early_key)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copied, dealt
+
+
+def _pattern_pairs(rows: DataFrame, pattern: Pattern, features: Sequence[str], rules: Rules, cell_rows: int | None) -> DataFrame:
+    """Pairs of one pattern: both records carry block, shared features, date bucket (as wide as the day limit) and cell (as
+    wide as the pattern's distance); the earlier one looks into its own and the next bucket and into the nine cells around it."""
+    for f in pattern.same:
         rows = rows.where(_present(F.col(f)).isNotNull())
-    late = rows.withColumn("cell", geo.radius_key("lat", "lon", km))
-    early = (rows.withColumn("cell", F.explode(geo.radius_probe_keys("lat", "lon", km)))
+    late = rows.withColumn("cell", geo.radius_key("lat", "lon", pattern.km))
+    early = (rows.withColumn("cell", F.explode(geo.radius_probe_keys("lat", "lon", pattern.km)))
              .withColumn("look", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))))
-    cond = ((F.col("l.block") == F.col("r.block")) & (F.col("l.look") == F.col("r.bucket")) & (F.col("l.cell") == F.col("r.cell"))
-            & ((F.col("l.bucket") < F.col("r.bucket")) | (F.col("l.id") < F.col("r.id"))))
-    for f in must:
-        cond = cond & (F.col(f"l.{f}") == F.col(f"r.{f}"))
+    shared = ["block", "cell", *pattern.same]
+    if cell_rows is not None:
+        early, late = _gridded(early, late, [*shared, "look"], [*shared, "bucket"], cell_rows)
+        shared.append("part")
+    cond = (F.col("l.look") == F.col("r.bucket")) & ((F.col("l.bucket") < F.col("r.bucket")) | (F.col("l.id") < F.col("r.id")))
+    for c in shared:
+        cond = cond & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    for f in pattern.differ:
+        cond = cond & (_match(F.col(f"l.{f}"), F.col(f"r.{f}")) == 0.0)
     gap = F.abs(F.datediff("l.day", "r.day"))
-    cond = cond & (gap <= rules.max_days)
     # few input bytes can make very many pairs: both sides are always dealt out by key, never broadcast
-    joined = early.alias("l").join(late.alias("r").hint("merge"), cond)
+    joined = early.alias("l").join(late.alias("r").hint("merge"), cond & (gap <= rules.max_days))
     out = joined.select(
         F.col("l.block").alias("block"), F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"),
         gap.alias("days"), geo.haversine_km("l.lat", "l.lon", "r.lat", "r.lon").alias("km"),
-        *[_match(F.col(f"l.{f}"), F.col(f"r.{f}")).alias(f"same_{f}") for f in fields.features])
-    return out.where(F.col("km") <= km)
+        *[_match(F.col(f"l.{f}"), F.col(f"r.{f}")).alias(f"same_{f}") for f in features])
+    return out.where(F.col("km") <= pattern.km)
+
+
+def candidate_pairs(df: DataFrame, fields: Fields = Fields(), rules: Rules = Rules(), threshold: float = 0.0,
+                    cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Feasible pairs a < b of one block with their day and km gaps and feature matches, each once.
+
+    One join per mismatch pattern. Where some block, bucket and cell holds more than
+    ``cell_rows`` rows, crowded cells are dealt over a grid of parts.
+    """
+    refuse_denied(fields.features)
+    rows = blocks_of_size(df, fields.block, rules.min_block).where(
+        F.col(fields.date).isNotNull() & F.col(fields.lat).isNotNull() & F.col(fields.lon).isNotNull())
+    rows = rows.select(
+        F.col(fields.key).alias("id"), F.col(fields.block).alias("block"), F.col(fields.date).cast("date").alias("day"),
+        F.col(fields.lat).alias("lat"), F.col(fields.lon).alias("lon"), *[F.col(f) for f in fields.features],
+        F.floor(F.unix_date(F.col(fields.date).cast("date")) / (rules.max_days + 1)).cast("long").alias("bucket"))
+    patterns = mismatch_patterns(rules, fields.features, threshold)
+    rows = cut(rows, "linkable")
+    widest = max((p.km for p in patterns), default=rules.max_km)
+    crowded = rows.groupBy("block", "bucket", geo.radius_key("lat", "lon", widest)).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > cell_rows)
+    grid = None if crowded.isEmpty() else cell_rows
+    parts = [_pattern_pairs(rows, p, fields.features, rules, grid) for p in patterns] or [
+        _pattern_pairs(rows.where("false"), Pattern((), (), rules.max_km), fields.features, rules, None)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def score_pairs(pairs: DataFrame, df: DataFrame, fields: Fields = Fields(), rules: Rules = Rules(),

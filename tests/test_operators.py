@@ -116,6 +116,42 @@ def test_pairs_equal_brute_force(spark, threshold):
     assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
 
 
+def test_patterns_are_disjoint_and_whole():
+    features = ("vehicle", "target", "tod", "dow")
+    assert lk.mismatch_patterns(lk.Rules(), features, 0.0) == [lk.Pattern((), (), fx.LINK_MAX_KM)]
+    total = sum(fx.LINK_WEIGHTS.values())
+    for threshold in (0.3, 0.45, 0.5, 0.65, 0.72, 0.8, 0.9, 0.99, 1.0, 1.2):
+        plan = lk.mismatch_patterns(lk.Rules(), features, threshold)
+        for n in range(4):
+            for differ in itertools.combinations(features[:3], n):
+                fits = [p for p in plan if not set(p.same) & set(differ) and set(p.differ) <= set(differ)]
+                reachable = total - sum(fx.LINK_WEIGHTS[f] for f in differ) >= threshold - 1e-9
+                assert len(fits) == reachable
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.65, 0.8])
+def test_crowded_cells_give_the_same_pairs_over_a_grid(spark, threshold):
+    rows, _ = _cases(spark, 150)
+    crowd = [(1000 + i, "x", dt.date(2025, 5, 1) + dt.timedelta(days=i % 40), 13.0, 76.0, "car" if i % 3 else "auto", "cash" if i % 4 else "mobile",
+              "night" if i % 5 else "evening", i % 7, [1.0, i / 100, 0.0, 0.2]) for i in range(120)]  # one place
+    df = spark.createDataFrame(rows + crowd, _cases(spark, 1)[1].schema)
+    got = [sorted(map(tuple, lk.score_pairs(lk.candidate_pairs(df, threshold=threshold, cell_rows=n), df, threshold=threshold).select(
+        "a", "b", "days", F.round("score", 9)).collect())) for n in (7, 10_000)]
+    assert got[0] == got[1] and len({p[:2] for p in got[0]}) == len(got[0]) > 400
+    same = lambda p, q: [bool(p[i]) and p[i] == q[i] for i in (5, 6, 7)]
+    w, want = fx.LINK_WEIGHTS, set()
+    for p, q in itertools.combinations(rows + crowd, 2):
+        km = _km(p[3], p[4], q[3], q[4])
+        if p[1] == q[1] and abs((p[2] - q[2]).days) <= 180 and km <= 120:
+            a, b = np.array(p[9]), np.array(q[9])
+            v, t, o = same(p, q)
+            score_ = (w["cosine"] * a @ b / ((np.linalg.norm(a) + 1e-9) * (np.linalg.norm(b) + 1e-9)) + w["vehicle"] * v + w["target"] * t + w["tod"] * o
+                      + w["geo"] * (1 - km / 120))
+            if score_ >= threshold:
+                want.add((p[0], q[0]))
+    assert want == {x[:2] for x in got[0]}
+
+
 def test_planted_series_is_found(spark):
     rows, _ = _cases(spark, 200)
     series = [(1000 + i, "x", dt.date(2026, 3, 1) + dt.timedelta(days=5 * i), 14.0 + i * 0.01, 76.0, "motorcycle", "gold_chain", "evening", i % 7,
