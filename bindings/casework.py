@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from caseweave.functions import vectors as vec
 from caseweave.operators import detect, forecast as fc, linkage as lk, neighbours as nb, pack, spatial
@@ -124,10 +124,17 @@ def _stream(s, d):
 
 @q("st1_sweep", SPIKE_SQL.format(min_recent=6) + _SP + " ORDER BY z DESC, event_type, user_id LIMIT 8")
 def _sweep(s, d):
-    out = scratch_path(s, "sweep")
-    find = lambda batch, _: _sp_cols(detect.spikes(batch, "ts", ["event_type", "user_id"], AS_OF, START, window_days=7))
-    jobs.sweep(_stream(s, d), find, out, scratch_path(s, "sweep-state")).awaitTermination()
-    return s.read.parquet(out).drop("batch_id")
+    """The events arrive in three parts, oldest first; the leads of the last sweep are those of all events."""
+    files, out, store, state = (scratch_path(s, f"sweep-{n}") for n in ("arrivals", "leads", "counts", "state"))
+    events = m.table(s, d, "events").withColumn("day", F.to_date("ts"))
+    days = events.select("day").distinct().withColumn("third", F.ntile(3).over(Window.orderBy("day")))  # a row per day
+    by = ["event_type", "user_id"]
+    find = lambda counts, _: _sp_cols(detect.spikes(counts, "day", by, AS_OF, START, window_days=7, weight="n"))
+    for i in (1, 2, 3):
+        events.join(days.where(F.col("third") == i).select("day"), "day").drop("day").write.mode("append").parquet(files)
+        stream = jobs.read_files(m.prepare(s), files, m.SCHEMAS["events"]).withColumn("ts", F.col("ts").cast("timestamp"))
+        jobs.remembering_sweep(stream, "ts", by, find, store, out, state, fold_every=2).awaitTermination()
+    return jobs.latest_leads(s, out)
 
 
 WINDOWS_SQL = """SELECT window_start, window_start + INTERVAL 14 DAY AS window_end, event_type, count(*) AS n FROM

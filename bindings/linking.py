@@ -209,7 +209,7 @@ def _rescan(s, d):
     _, _, series = _series(s, d)
     lk.save_series(series.select("series_id", "confidence"), path)
     lk.save_series(series.select("series_id", "confidence"), path)
-    return s.read.parquet(path).orderBy(F.desc("confidence"))
+    return lk.stored_series(s, path).orderBy(F.desc("confidence"))
 
 
 FOREST_LEVELS = (0.80, 0.85, 0.90)

@@ -17,11 +17,16 @@ def _date(d: dt.date) -> Column:
 
 
 def spike_counts(df: DataFrame, ts: str, by: Sequence[str], as_of: dt.date, window_days: int,
-                 history_by: Sequence[str] | None = None) -> DataFrame:
-    """recent and history counts per group in one pass; history may use fewer columns."""
+                 history_by: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
+    """recent and history counts per group in one pass; history may use fewer columns.
+
+    ``weight`` names a column that says how many events a row stands for.
+    """
     cutoff = _date(as_of - dt.timedelta(days=window_days))
     late = F.col(ts).cast("date") > cutoff
-    counts = df.groupBy(*by).agg(F.count_if(late).alias("recent"), F.count_if(~late).alias("history"))
+    n = F.lit(1) if weight is None else F.col(weight)
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    counts = df.groupBy(*by).agg(total(late).alias("recent"), total(~late).alias("history"))
     if history_by is not None and list(history_by) != list(by):
         counts = counts.withColumn("history", F.sum("history").over(Window.partitionBy(*history_by)))
     return counts
@@ -29,10 +34,10 @@ def spike_counts(df: DataFrame, ts: str, by: Sequence[str], as_of: dt.date, wind
 
 def spikes(df: DataFrame, ts: str, by: Sequence[str], as_of: dt.date, start: dt.date, window_days: int = 14,
            min_recent: int = 6, z_min: float = 3.0, top: int | None = 8,
-           history_by: Sequence[str] | None = None) -> DataFrame:
+           history_by: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
     """Groups whose weekly rate in the last days lies far above their own history."""
     weeks = max(((as_of - dt.timedelta(days=window_days)) - start).days / 7.0, 1.0)
-    counts = spike_counts(df, ts, by, as_of, window_days, history_by).where(F.col("recent") >= min_recent)
+    counts = spike_counts(df, ts, by, as_of, window_days, history_by, weight).where(F.col("recent") >= min_recent)
     base = F.col("history") / F.lit(weeks)
     rate = F.col("recent") / F.lit(window_days / 7.0)
     z = (rate - base) / F.greatest(F.sqrt(base), F.lit(0.5))

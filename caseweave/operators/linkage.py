@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fx, geo, temporal as tm, text as tx, vectors as vec
 from ..functions.rounding import python_round
 from ..plans.lineage import cut
+from ..sources import snapshots
 from .neighbours import knn
 from .ranking import numbered, top_k_per_group
 from .score import refuse_denied
@@ -312,6 +313,11 @@ def apply_feedback(series: DataFrame, feedback: DataFrame, key: str = "series_id
         "n_feedback", F.coalesce("n_feedback", F.lit(0))).drop("_v")
 
 
-def save_series(series: DataFrame, path: str) -> None:
-    """Rescan: replace the stored series."""
-    series.write.mode("overwrite").parquet(path)
+def save_series(series: DataFrame, path: str, keep: int = 3) -> int:
+    """Rescan: store a new version of the series; readers see the old one until it is complete."""
+    return snapshots.save(series, path, keep)
+
+
+def stored_series(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The series of the last rescan that succeeded, or of a given one."""
+    return snapshots.load(spark, path, version)
