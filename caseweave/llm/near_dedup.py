@@ -1,14 +1,19 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Shingles are runs of five words (bytes outside space and 09-0D). A register's winner is the
-element whose exponential arrival, of rate equal to its weight, comes first; two texts agree
-in a register with their probability Jaccard similarity. Every distinct shingle weighs one
-here, however often the text repeats it, so that this is the Jaccard similarity of the sets,
-by which links are defined. Elements draw arrivals of a Poisson process, each for one
-register, and stop once an arrival comes after the text's last register.
+Shingles are runs of five words (bytes outside space and 09-0D); a shingle that a text has
+c times weighs 1 + ln c. A register's winner is the element whose exponential arrival, of
+rate equal to its weight, comes first; two texts agree in a register with their probability
+Jaccard similarity. Elements draw arrivals of a Poisson process, each for one register, and
+stop once an arrival comes after the text's last register.
 
-Two texts are linked if they share a band and the exact Jaccard similarity of their shingle
-sets reaches the threshold. Classes are the connected components of the links.
+Repeats can hide that two texts have the same shingles, so a text with repeated shingles
+gets a second set of bands, in which every distinct shingle weighs one; there a register
+agrees with the plain Jaccard similarity. Without repeats both sets are the same bands.
+
+Two texts are linked if they share a band and the exact probability Jaccard similarity of
+their weighted shingles, or the exact Jaccard similarity of their shingle sets, reaches the
+threshold. Classes are the connected components of the links (built by the library's
+general components operator).
 
 Defined cases: equal texts share a class, also empty ones; null counts as empty; a text of
 one to four words is one shingle; a class is named by its smallest non-null id (null if it
@@ -30,22 +35,22 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
 MASK_LONGS = 32
-ROWS = 4  # at Jaccard similarity 0.8 a pair shares none of 20 bands of 4 with probability 3e-5
+ROWS = 4  # at a similarity of 0.8 a pair shares none of 20 bands of 4 with probability 3e-5
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _UNIT = 2.0 ** -53
 
 
-def distinct_shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct shingles of each row, by row and hash."""
+def weighted_shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, weight) of the distinct shingles of each row, by row and hash."""
     start, end, row = words(buf, at)
     h, of = shingles(word_hashes(buf, start, end), row, len(at) - 1, WIDTH)
     if not len(h):
-        return h, of
+        return h, of, np.zeros(0)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
-    return h[new], of[new]
+    return h[new], of[new], 1.0 + np.log(np.diff(np.concatenate((new, [len(h)]))))
 
 
 def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -72,28 +77,40 @@ def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int,
     return owner.reshape(rows, m)
 
 
-def band_keys(buf: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(row x band key, has words) of one slice of texts."""
-    n = len(at) - 1
-    h, of = distinct_shingles(buf, at)
-    sig = prob_min_hash(h, of, np.ones(len(h)), n, bands * rows).reshape(n, bands, rows)
+def _keys(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
+    sig = prob_min_hash(h, of, weight, n, bands * rows).reshape(n, bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _STEP
     with np.errstate(over="ignore"):
         for k in range(rows):
             key = mix(key + sig[:, :, k])
-    return key.astype(np.int64), np.bincount(of, minlength=n) > 0
+    return key.astype(np.int64)
+
+
+def band_keys(buf: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[np.ndarray]:
+    """Band keys of each row of one slice: those of the weighted shingles, then, if a shingle is repeated, those of the set."""
+    n = len(at) - 1
+    h, of, weight = weighted_shingles(buf, at)
+    keys = _keys(h, of, weight, n, bands, rows)
+    has = np.bincount(of, minlength=n) > 0
+    repeats = np.zeros(n, bool)
+    repeats[of[weight > 1]] = True
+    which = np.flatnonzero(repeats)
+    mine = repeats[of]
+    plain = _keys(h[mine], np.searchsorted(which, of[mine]), np.ones(int(mine.sum())), len(which), bands, rows)
+    out = [keys[i] if has[i] else keys[i, :0] for i in range(n)]
+    for i, own in zip(which, plain):
+        out[i] = np.concatenate((keys[i], own[own != keys[i]]))
+    return out
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, key, bands) as a table; bands is empty for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, has = np.zeros((batch.num_rows, BANDS), np.int64), np.zeros(batch.num_rows, bool)
-            for a, b, buf, at in chunks(batch.column(2)):
-                keys[a:b], has[a:b] = band_keys(buf, at)
-            ends = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
+            keys = [k for _, _, buf, at in chunks(batch.column(2)) for k in band_keys(buf, at)]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))],
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
                 names=["doc_id", "key", "bands"])
 
     filled = F.coalesce(F.col(text), F.lit(""))
@@ -101,29 +118,48 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return cut(rows.mapInArrow(run, "doc_id long, key string, bands array<long>"), "signatures")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two arrays of distinct hashes."""
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of two arrays of distinct hashes, sorted, with weights: over the common ones d, the sum of 1 / sum of max(x'/x_d, y'/y_d) over all.
+
+    Sorted by the quotient of their weights, the elements from d on give x' and those before it y'.
+    """
+    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0
+    quotient = x[i] / y[j]
+    order = np.argsort(quotient, kind="stable")
+    q, xs, ys = quotient[order], x[i][order], y[j][order]
+    only_x, only_y = x.sum() - xs.sum(), y.sum() - ys.sum()
+    from_x = np.cumsum(xs[::-1])[::-1]  # of equal quotients it does not matter to which side they count
+    before_y = np.concatenate(([0.0], np.cumsum(ys)[:-1]))
+    return float((xs / (only_x + from_x + q * (only_y + before_y))).sum())
+
+
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """The larger of probability Jaccard and plain Jaccard similarity; without repeats they are the same."""
     if not len(a) or not len(b):
         return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+    plain = common / (len(a) + len(b) - common)
+    return plain if (x == 1).all() and (y == 1).all() else max(plain, probability_jaccard(a, x, b, y))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the ``pairs`` (a, b) that reach ``threshold``; ``texts``: (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_b, sets_b = None, None
+        last_b, own_b = None, None
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sims = np.zeros(len(a))
             for first, end, buf, at in chunks(batch.column(2)):
-                h, of = distinct_shingles(buf, at)
+                h, of, weight = weighted_shingles(buf, at)
                 own = np.searchsorted(of, np.arange(end - first + 1))
                 for i in range(first, end):
                     if b[i] != last_b:  # rows come sorted by b or nearly so
                         _, _, bb, ba = next(chunks(batch.column(3).slice(i, 1)))
-                        last_b, sets_b = b[i], distinct_shingles(bb, ba)[0]
-                    sims[i] = similarity(h[own[i - first]:own[i - first + 1]], sets_b)
+                        last_b, own_b = b[i], weighted_shingles(bb, ba)[::2]
+                    mine = slice(own[i - first], own[i - first + 1])
+                    sims[i] = similarity(h[mine], weight[mine], *own_b)
             good = np.flatnonzero(sims >= threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(sims[good])],
                                              names=["a", "b", "similarity"])
@@ -135,28 +171,38 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def masks(texts: DataFrame) -> DataFrame:
-    """(node, n, mask): distinct shingles, and the bits that they set among MASK_LONGS * 64."""
+    """(node, n, w, mask): distinct shingles, their weight, and the bits that they set among MASK_LONGS * 64."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, at in chunks(batch.column(1)):
-                h, of = distinct_shingles(buf, at)
+                h, of, weight = weighted_shingles(buf, at)
                 mask = np.zeros((b - a, MASK_LONGS), np.uint64)
                 np.bitwise_or.at(mask, (of, ((h >> np.uint64(40)) % np.uint64(MASK_LONGS)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
                 ends = np.arange(0, mask.size + 1, MASK_LONGS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(of, minlength=b - a)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(mask.view(np.int64).ravel()))], names=["node", "n", "mask"])
+                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(of, minlength=b - a)), pa.array(np.bincount(of, weight, b - a).astype(float)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(mask.view(np.int64).ravel()))], names=["node", "n", "w", "mask"])
 
-    return texts.mapInArrow(run, "node long, n long, mask array<long>")
+    return texts.mapInArrow(run, "node long, n long, w double, mask array<long>")
 
 
-def _bound(a: str, b: str) -> Column:
-    """An upper bound of the Jaccard similarity: each bit that only one side sets stands for a shingle the other lacks."""
+def _can_reach(a: str, b: str, threshold: float) -> Column:
+    """Whether a pair may reach the threshold: each bit that only one side sets stands for a shingle the other lacks.
+
+    The share of a side's weight that is common bounds the probability Jaccard similarity, and a lacking shingle weighs
+    one at least; where neither side has repeats the bound of the plain similarity holds for both.
+    """
     def lacking(x: str, y: str) -> Column:
         return sum((F.bit_count(F.col(f"mask_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"mask_{y}")[i]))) for i in range(MASK_LONGS)), F.lit(0))
 
-    most = F.least(F.col(f"n_{a}") - lacking(a, b), F.col(f"n_{b}") - lacking(b, a))
-    return most / F.greatest(F.col(f"n_{a}") + F.col(f"n_{b}") - most, F.lit(1)) + 1e-9
+    def decide(only_a: Column, only_b: Column) -> Column:
+        most = F.least(F.col(f"n_{a}") - only_a, F.col(f"n_{b}") - only_b)
+        plain = most / F.greatest(F.col(f"n_{a}") + F.col(f"n_{b}") - most, F.lit(1)) + 1e-9 >= threshold
+        share = F.least(1 - only_a / F.greatest(F.col(f"w_{a}"), F.lit(1.0)), 1 - only_b / F.greatest(F.col(f"w_{b}"), F.lit(1.0)))
+        repeats = (F.col(f"w_{a}") > F.col(f"n_{a}") + 1e-6) | (F.col(f"w_{b}") > F.col(f"n_{b}") + 1e-6)
+        return plain | (repeats & (share + 1e-9 >= threshold))
+
+    return decide(lacking(a, b), lacking(b, a))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -191,9 +237,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = cut(state.join(mixed, "slot").select("slot", "node", "part"), "open")
     need = open_.select("node").distinct().join(texts, "node")
     open_ = cut(open_.join(masks(need), "node"), "masks")
-    x, y = (open_.select("slot", *[F.col(c).alias(f"{c}_{n}") for c in ("part", "n", "mask")], F.col("node").alias(n)) for n in "ab")
+    x, y = (open_.select("slot", *[F.col(c).alias(f"{c}_{n}") for c in ("part", "n", "w", "mask")], F.col("node").alias(n)) for n in "ab")
     more = x.join(y, (x["slot"] == y["slot"]) & (F.col("part_a") != F.col("part_b")) & (F.col("a") > F.col("b")) & (
-        _bound("a", "b") >= threshold)).select("a", "b").distinct()
+        _can_reach("a", "b", threshold))).select("a", "b").distinct()
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     late = verify(cut(more.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, threshold)
     links = links.unionByName(late)

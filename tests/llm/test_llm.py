@@ -462,10 +462,65 @@ def test_repeated_passages_do_not_hide_near_copies():
     for g in range(200):
         own, block = [f"w{g}x{j}" for j in range(404)], [f"b{g}x{j}" for j in range(70 + g % 25)]
         texts += [" ".join(own), " ".join(own + block * 50)]
-    keys = np.concatenate([near_dedup.band_keys(buf, at)[0] for _, _, buf, at in arrow_text.chunks(pa.array(texts, pa.large_string()))])
+    keys = [set(k.tolist()) for _, _, buf, at in arrow_text.chunks(pa.array(texts, pa.large_string())) for k in near_dedup.band_keys(buf, at)]
     sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
     near = [i for i in range(0, 400, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
-    assert len(near) > 150 and all((keys[i] == keys[i + 1]).any() for i in near)
+    assert len(near) > 150 and all(keys[i] & keys[i + 1] for i in near)
+
+
+def counted(text):
+    w = words(text)
+    return collections.Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def pair_similarity(a, b):
+    """max of plain and probability Jaccard similarity by definition; weights 1 + ln count."""
+    if not a or not b:
+        return 0.0
+    x, y = ({k: 1 + math.log(c) for k, c in t.items()} for t in (a, b))
+    every = set(x) | set(y)
+    weighted = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
+    return max(weighted, len(set(x) & set(y)) / len(every))
+
+
+def test_pair_similarity_equals_its_definition():
+    rng = random.Random(2)
+    for _ in range(40):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 40))]
+        b = a[:rng.randint(0, len(a))] + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]
+        column = pa.array([" ".join(a), " ".join(b)], pa.large_string())
+        (_, _, buf, at), = arrow_text.chunks(column)
+        h, of, w = near_dedup.weighted_shingles(buf, at)
+        got = near_dedup.similarity(h[of == 0], w[of == 0], h[of == 1], w[of == 1])
+        assert abs(got - pair_similarity(counted(" ".join(a)), counted(" ".join(b)))) < 1e-9
+
+
+def test_classes_of_texts_with_repeats_match_brute_force(spark):
+    """Repeated blocks make weighted and plain similarity differ both ways."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(30):
+        own, block = [f"w{g}x{j}" for j in range(rng.randint(8, 120))], [f"b{g}x{j}" for j in range(rng.randint(6, 40))]
+        texts.append(" ".join(own + block * rng.choice([0, 1, 3, 30])))
+        for _ in range(rng.randint(1, 3)):
+            other = own[:len(own) - rng.randint(0, max(1, len(own) // 3))] + [f"n{rng.random()}" for _ in range(rng.randint(0, 4))]
+            texts.append(" ".join(other + block * rng.choice([0, 1, 3, 30])))
+    sets = [counted(t) for t in texts]
+    sims = {(i, j): pair_similarity(sets[i], sets[j]) for i, j in itertools.combinations(range(len(texts)), 2) if set(sets[i]) & set(sets[j])}
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for (i, j), s in sims.items():
+        if s >= 0.8:
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    plain = {p for p in sims if len(set(sets[p[0]]) & set(sets[p[1]])) >= 0.8 * len(set(sets[p[0]]) | set(sets[p[1]]))}
+    assert {p for p, s in sims.items() if s >= 0.8} != plain  # the weights matter here
+    classes, _ = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {i: root(i) for i in range(len(texts))}
 
 
 def test_registers_agree_with_probability_jaccard():
