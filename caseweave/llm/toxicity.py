@@ -1,16 +1,18 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel.
 
 The kernel of two words sums, over all common subsequences of three characters, decay to
-the power of the spans they take up; the word's start counts as a character. It is normalised and squared, so one inserted or
-missing character lowers it a little and unrelated words are near zero. The kernel of a
+the power of the spans they take up; the word's start counts as a character. It is
+normalised and raised to the fourth power, so one inserted or missing character lowers it a
+little and unrelated words are near zero. The kernel of a
 sentence with a landmark adds up its words. Landmarks are words of labelled sentences,
 chosen by pivoted Cholesky steps among the words that tell the classes apart best; the
 Nystrom map turns kernel values with them into features, on which a linear machine is
 trained. As its decision is a sum over words, a task computes each distinct word once.
 
 A document is as toxic as its worst sentence. Labels are of documents: training starts with
-the sentences of toxic documents that hold a telling word, and in each turn takes those it
-finds toxic: with a telling word, or the worst of their document.
+the sentences of toxic documents that hold a telling word, or where there is none with the
+most suspicious sentence, and in each turn takes those it finds toxic: with a telling word,
+or the worst of their document.
 
 Defined cases: null, empty and wordless texts have the score of an empty sentence; words
 of over 24 characters are cut into overlapping windows; runs of single characters are
@@ -31,14 +33,17 @@ from pyspark.sql import DataFrame, functions as F
 #: Most labelled training documents taken of each class; those with the smallest hash of the id.
 TRAIN_DOCS = 800
 CANDIDATES = 400
-LANDMARKS = 64
+#: Landmarks of telling and of ordinary words; more telling ones are taken, up to MOST, while some telling word is
+#: less than half explained by those picked.
+TELLING, ORDINARY, MOST = 48, 16, 256
 DECAY = 0.8
 SPAN = 8
 LONGEST = 24
 TURNS = 3
-#: A telling word has at least so many different neighbourhoods in toxic documents (and so many per document), and
-#: so many times as common there as elsewhere.
-MIN_PLACES, MIN_SHARE, MIN_LIFT = 4, 0.012, 8.0
+#: A telling word is at least so many times as common in toxic documents as elsewhere, after smoothing. How sure that is
+#: (log-odds less its standard error) must reach the level at which, with the classes swapped, at most this share of
+#: words as would pass for telling of clean documents: those are as many as chance alone gives.
+MIN_LIFT, CHANCE_SHARE = 8.0, 0.1
 SENTENCE_WORDS = 24
 SVM_COST = 1.0
 #: Decisions are taken as at most so far from zero when they are turned into scores.
@@ -239,6 +244,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(split)
 
 
+def surest_level(found: np.ndarray, chance: np.ndarray) -> float:
+    """The lowest level that ``found`` reaches so often that the times ``chance`` does, and one more, are CHANCE_SHARE of it at most."""
+    levels = np.unique(found[np.isfinite(found)])
+    above = len(found) - np.searchsorted(np.sort(found), levels)
+    below = len(chance) - np.searchsorted(np.sort(chance), levels)
+    good = levels[below + 1 <= CHANCE_SHARE * above]
+    return float(good.min()) if len(good) else float(levels.max()) if len(levels) else np.inf
+
+
 def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
     """From documents as lists of sentences of words."""
     clean = {tuple(x) for s, y in split if y == 0 for x in s}
@@ -250,21 +264,28 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
         if own:
             distinct.append((own, y))
     split = distinct
-    n = np.array([sum(len(s) for s, y in split if y == c) for c in (0, 1)], float) + 1
+    n = np.array([sum(y == c for _, y in split) for c in (0, 1)], float) + 1
+    # documents of each class that have a word, each between other neighbours than the documents before it
     seen: dict[str, list[int]] = {}
     places: set[tuple] = set()
     for s, y in split:
+        own = set()
         for x in s:
             for i, word in enumerate(x):
                 place = (word, x[i - 1] if i else "", x[i + 1] if i + 1 < len(x) else "", y)
                 if place not in places:
                     places.add(place)
-                    for w in _pieces(word):
-                        if len(w) > 2:
-                            seen.setdefault(w, [0, 0])[y] += 1
-    docs = sum(y for _, y in split)
-    lift = {w: (b + 0.5) / n[1] * n[0] / (a + 0.5) for w, (a, b) in seen.items() if b >= max(MIN_PLACES, MIN_SHARE * docs)}
-    gain = {w: np.log(x) * seen[w][1] for w, x in lift.items() if x >= MIN_LIFT}
+                    own.update(w for w in _pieces(word) if len(w) > 2)
+        for w in own:
+            seen.setdefault(w, [0, 0])[y] += 1
+    every = list(seen)
+    counts = np.array([seen[w] for w in every], float).reshape(-1, 2) + 0.5
+    odds = np.log(counts[:, 1] / n[1] * n[0] / counts[:, 0])
+    error = np.sqrt((1 / counts).sum(1))
+    toxic_side, clean_side = (np.where(side >= np.log(MIN_LIFT), side - error, -np.inf) for side in (odds, -odds))
+    level = surest_level(toxic_side, clean_side)
+    gain = {every[i]: max(toxic_side[i], 0.01) * seen[every[i]][1] for i in np.flatnonzero(toxic_side >= level)}
+    odds_of = dict(zip(every, odds.tolist()))
     telling = sorted(gain, key=lambda w: (-gain[w], w))[:CANDIDATES]
     usual = sorted(seen, key=lambda w: (-seen[w][0], w))[:CANDIDATES // 4]
     pool = list(dict.fromkeys([*telling, *usual]))
@@ -272,11 +293,15 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
     gram = (vectors @ vectors.T).astype(float) ** 4
     worth = np.array([np.sqrt(max(gain.get(w, 0), 0)) + 1 for w in pool])
     rest, picked, low = gram.diagonal().copy(), [], np.zeros((len(pool), 0))
-    while len(picked) < min(LANDMARKS, len(pool)):
-        if len(picked) == LANDMARKS * 3 // 4:  # the last quarter stands for ordinary words
-            worth = np.array([float(w not in gain) for w in pool])
+    told = np.array([w in gain for w in pool])
+    ordinary = 0
+    while len(picked) < len(pool):
+        if ordinary == 0 and (len(picked) >= MOST - ORDINARY or len(picked) >= TELLING and not (told & (rest > 0.5)).any()):
+            worth, ordinary = (~told).astype(float), len(picked) + ORDINARY  # the last ones stand for ordinary words
+        if len(picked) == ordinary > 0:
+            break
         i = int(np.argmax(rest * worth))
-        if rest[i] < 1e-4:
+        if rest[i] * worth[i] < 1e-4:
             break
         col = (gram[:, i] - low @ low[i]) / np.sqrt(rest[i])
         low = np.concatenate((low, col[:, None]), 1)
@@ -300,7 +325,12 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
     toxic = y_doc[of_doc] == 1
     hot = set(telling)
     mark = np.array([any(p in hot for w in x for p in _pieces(w)) for x in rows])
-    positive = toxic & mark
+    # every toxic document starts with its marked sentences, or else with the one whose words have the highest log-odds
+    worst = np.array([max((odds_of.get(p, 0.0) for w in x for p in _pieces(w)), default=0.0) for x in rows])
+    top, marked = np.full(len(split), -np.inf), np.zeros(len(split), bool)
+    np.maximum.at(top, of_doc, worst)
+    np.logical_or.at(marked, of_doc, mark)
+    positive = toxic & (mark | ~marked[of_doc] & (worst >= top[of_doc]))
     for _ in range(TURNS):
         use = positive | ~toxic
         y = np.where(positive[use], 1.0, -1.0)

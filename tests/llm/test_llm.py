@@ -219,6 +219,43 @@ def test_toxicity_finds_altered_insults(spark):
     assert ["wretchling"] == [w for w in toxicity.sentences("w r e t c h l i n g")[0] if len(w) > 1]
 
 
+@pytest.mark.parametrize("insults", [20, 200])
+def test_many_rare_insults_are_learned(insults):
+    """800 toxic documents; with 200 insults each is in four of them."""
+    rng = random.Random(1)
+    syllables = ["ba", "ko", "ri", "mun", "ta", "sel", "vo", "dri", "pa", "nel", "gu", "fi", "lor", "zet", "hem", "qua"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(600)]
+    roots = ["grub", "snot", "muck", "wret", "vile", "scum", "dreg", "pox", "fang", "husk", "blot", "crud", "yob", "zil", "jix", "kwe"]
+    bad = [rng.choice(roots) + rng.choice(roots) + rng.choice("aeiou") + rng.choice("xyzkg") for _ in range(insults)]
+    train, texts, want = [], [], []
+    for i in range(1600):
+        s = [[rng.choice(vocabulary) for _ in range(rng.randint(6, 14))] for _ in range(rng.randint(2, 6))]
+        if i < 800:
+            line = rng.choice(s)
+            line[rng.randrange(len(line))] = bad[i % insults]
+        train.append((s, int(i < 800)))
+    for i in range(400):
+        s = [[rng.choice(vocabulary) for _ in range(10)] for _ in range(4)]
+        if i < 200:
+            w = bad[i % insults]
+            k = rng.randrange(1, len(w))
+            s[1][3] = w[:k] + rng.choice("-*.x") + w[k:] if i % 2 else w
+        texts.append(". ".join(" ".join(x) for x in s) + ".")
+        want.append(i < 200)
+    model = toxicity.fit(train)
+    found = model.score(model.decide(texts, {})) >= 0.7
+    want = np.array(want)
+    assert found[want].mean() >= 0.85 and found[~want].mean() <= 0.02
+
+
+def test_level_of_telling_words_is_above_chance():
+    rng = np.random.default_rng(0)
+    noise, mirror = rng.normal(size=5000), rng.normal(size=5000)
+    level = toxicity.surest_level(np.concatenate((noise, np.full(60, 6.0))), mirror)
+    assert (noise >= level).sum() <= 20 and level <= 6.0
+    assert toxicity.surest_level(np.full(3, -np.inf), mirror) == np.inf
+
+
 def test_subsequence_kernel_matches_its_definition():
     def features(word):
         w, out = toxicity._START + word, collections.Counter()
