@@ -245,12 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def surest_level(found: np.ndarray, chance: np.ndarray) -> float:
-    """The lowest level that ``found`` reaches so often that the times ``chance`` does, and one more, are CHANCE_SHARE of it at most."""
+    """The lowest level that ``chance`` never reaches, or which ``found`` reaches so often that the times ``chance`` does, and one
+    more, are CHANCE_SHARE of that at most."""
     levels = np.unique(found[np.isfinite(found)])
     above = len(found) - np.searchsorted(np.sort(found), levels)
     below = len(chance) - np.searchsorted(np.sort(chance), levels)
-    good = levels[below + 1 <= CHANCE_SHARE * above]
-    return float(good.min()) if len(good) else float(levels.max()) if len(levels) else np.inf
+    good = levels[(below == 0) | (below + 1 <= CHANCE_SHARE * above)]
+    return float(good.min()) if len(good) else np.inf
 
 
 def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
