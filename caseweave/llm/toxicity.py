@@ -55,6 +55,7 @@ _START = "\x02\x02"  # twice, so that beginnings weigh more
 _CACHE = 400_000
 #: Subsequences looked up at once, so that their rows stay in the processor's cache.
 _BLOCK = 8_192
+_WORDS = 16_384
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _INNER = re.compile(r"\w[^\w\s]+\w")
@@ -129,7 +130,8 @@ def dense(words: Sequence[str]) -> np.ndarray:
     out = np.zeros((len(words), _CODES ** _ORDER), np.float32)
     for which, bucket, weight in word_features(words):
         np.add.at(out, (which[:, None], bucket), weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-12)
+    return out
 
 
 def _norms(bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -157,7 +159,7 @@ def kernel(words: Sequence[str], table: Landmarks) -> np.ndarray:
         for i in range(0, len(which), step):
             b = bucket[i:i + step]
             out[which[i:i + step]] = np.einsum("nck,c->nk", table.rows[table.row_of[b]], w32) / _norms(b, weight)[:, None]
-    return out ** 4
+    return np.power(out, 4, out=out)
 
 
 @dataclass
@@ -280,6 +282,7 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
         for w in own:
             seen.setdefault(w, [0, 0])[y] += 1
     every = list(seen)
+    del places
     counts = np.array([seen[w] for w in every], float).reshape(-1, 2) + 0.5
     odds = np.log(counts[:, 1] / n[1] * n[0] / counts[:, 0])
     error = np.sqrt((1 / counts).sum(1))
@@ -309,18 +312,25 @@ def fit(split: list[tuple[list[list[str]], int]]) -> Machine:
         rest = np.maximum(rest - col ** 2, 0)
         picked.append(i)
     table = Landmarks.of(vectors[picked])
+    del vectors
     values, turn = np.linalg.eigh(gram[np.ix_(picked, picked)] + 1e-6 * np.eye(len(picked)))
     nystrom = turn / np.sqrt(np.maximum(values, 1e-9)) @ turn.T
 
     every = sorted({w for s, _ in split for x in s for w in x})
     number = {w: i for i, w in enumerate(every)}
-    parts = [_pieces(w) for w in every]
-    k = kernel([p for x in parts for p in x], table)
-    per_word = np.add.reduceat(k, np.cumsum([len(x) for x in parts]) - [len(x) for x in parts])
+    per_word = np.zeros((len(every), len(picked)), np.float32)
+    for i in range(0, len(every), _WORDS):  # a bounded number of words at a time
+        parts = [_pieces(w) for w in every[i:i + _WORDS]]
+        k = kernel([p for x in parts for p in x], table)
+        per_word[i:i + _WORDS] = np.add.reduceat(k, np.cumsum([len(x) for x in parts]) - [len(x) for x in parts])
     rows = [x for s, _ in split for x in s]
     sizes = np.array([len(x) for x in rows])
-    sums = np.add.reduceat(per_word[[number[w] for x in rows for w in x]], np.cumsum(sizes) - sizes)
-    features = sums @ nystrom
+    features = np.zeros((len(rows), len(picked)), np.float32)
+    for i in range(0, len(rows), _WORDS // 8):
+        some, size = rows[i:i + _WORDS // 8], sizes[i:i + _WORDS // 8]
+        sums = np.add.reduceat(per_word[[number[w] for x in some for w in x]], np.cumsum(size) - size)
+        features[i:i + len(some)] = sums @ nystrom
+    del per_word
     of_doc = np.repeat(np.arange(len(split)), [len(s) for s, _ in split])
     y_doc = np.array([y for _, y in split])
     toxic = y_doc[of_doc] == 1
