@@ -37,13 +37,13 @@ KNN_CTE = f"""{UNIT_CTE},
 knn AS (SELECT query, neighbour, sim FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_dot_product(a.u, b.u) AS sim,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u, b.u) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE r <= 12)"""
 q("k2_knn", m.sql("SELECT query, neighbour, round(sim, 6) AS similarity FROM knn", KNN_CTE))(
-    lambda s, d: nb.knn(m.table(s, d, "embeddings"), m.table(s, d, "embeddings"), "vec_id", "embedding", 12, chunk=256)
+    lambda s, d: nb.pivot_knn(m.table(s, d, "embeddings"), m.table(s, d, "embeddings"), "vec_id", "embedding", 12)
     .withColumn("similarity", F.round("similarity", 6)))
 q("k2_knn_within_label", m.sql(
     "SELECT query, neighbour, round(sim, 6) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_dot_product(a.u, b.u) AS sim, "
     "row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u, b.u) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id) "
     "WHERE r <= 5", UNIT_CTE))(
-    lambda s, d: nb.knn(m.table(s, d, "embeddings"), m.table(s, d, "embeddings"), "vec_id", "embedding", 5, within="label", chunk=32)
+    lambda s, d: nb.knn(m.table(s, d, "embeddings"), m.table(s, d, "embeddings"), "vec_id", "embedding", 5, within="label")
     .withColumn("similarity", F.round("similarity", 6)))
 q("k2_support", m.sql(f"SELECT person_key, round(sum(s), 3) AS support FROM (SELECT neighbour, {R3.format('sim')} AS s FROM knn WHERE {R3.format('sim')} >= 0.3) k "
                       "JOIN (SELECT l_orderkey AS neighbour, l_suppkey AS person_key FROM lineitem) USING (neighbour) GROUP BY person_key", KNN_CTE))(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import text as tx, vectors as vec
 from ..functions.rounding import python_round
+from ..plans.lineage import cut
 from .ranking import top_k_per_group
 
 CHUNK = 4096
@@ -58,14 +59,159 @@ def knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, wi
         nq, nc = F.lit(nq), F.lit(nc)
     q = q.select(*groups, key, vector, slot(nq).alias("_qb"), all_of(nc).alias("_cb"))
     c = c.select(*groups, key, vector, slot(nc).alias("_cb"), all_of(nq).alias("_qb"))
-    id_type = queries.schema[key].dataType
-    schema = T.StructType([T.StructField("query", id_type), T.StructField("neighbour", id_type),
-                           T.StructField("similarity", T.DoubleType())])
-    epsilon = vec.NORM_EPSILON
+    keys = [*groups, "_qb", "_cb"]
+    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
+        _best_of(key, vector, k, exclude_self), _neighbour_schema(queries, key))
+    return top_k_per_group(best, ["query"], [F.desc("similarity"), "neighbour"], k)
+
+
+#: Vectors in a cell on average; smaller cells prune more and cost more visits.
+CELL = 256
+#: Most pivots, and so the rows that the driver and every task hold: 8,192 vectors. Beyond that cells grow and are cut into chunks.
+MAX_PIVOTS = 8192
+#: Vectors shorter than this lose their direction to the epsilon of ``vec.unit``; they form a cell that every query visits.
+MIN_LENGTH = 1e-3
+#: Covers that epsilon and rounding, so that no neighbour is lost at a bound.
+SIM_SLACK = 1e-5
+
+
+def _matrix(column) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+def _directions(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and which rows were too short to have a direction."""
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.maximum(length, MIN_LENGTH), length[:, 0] < MIN_LENGTH
+
+
+def pivot_rows(corpus: DataFrame, key: str, vector: str, pivots: int | None = None) -> np.ndarray:
+    """Directions of the pivots: the corpus rows with the smallest hashes of their keys.
+
+    One in ``CELL`` rows, at most ``MAX_PIVOTS``. The choice changes the work, never the result.
+    """
+    usable = corpus.where(vec.norm(vector) >= MIN_LENGTH)
+    n = min(MAX_PIVOTS, pivots or math.ceil(usable.count() / CELL))
+    rows = usable.select(key, vector).orderBy(F.xxhash64(key), key).limit(n).collect()  # at most MAX_PIVOTS rows
+    return _directions(_matrix([r[vector] for r in rows]))[0] if rows else np.zeros((0, 0))
+
+
+def with_cell(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
+    """``df`` with ``_cell``, the nearest pivot, and ``_angle`` to it; short vectors share the cell after the last pivot."""
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def nearest(column: pd.Series) -> pd.DataFrame:
+        unit, short = _directions(_matrix(column))
+        cos = unit @ pivots.T if len(pivots) else np.zeros((len(unit), 1))
+        cell = np.where(short, len(pivots), np.argmax(cos, axis=1)).astype(np.int32)
+        return pd.DataFrame({"cell": cell, "angle": np.where(short, 0.0, np.arccos(np.clip(cos.max(axis=1), -1, 1)))})
 
+    return df.withColumn("_at", nearest(vector)).select(*df.columns, F.col("_at.cell").alias("_cell"), F.col("_at.angle").alias("_angle"))
+
+
+def _highest_similarity(unit: np.ndarray, home: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """query x cell: no vector of the cell is more similar to the query than this.
+
+    Angles are a metric on the sphere, so a cell that lies ``low`` to ``high`` from its pivot is at least so far away;
+    and the plane halfway between two pivots parts their cells.
+    """
+    cos = np.clip(unit @ pivots.T, -1, 1)
+    angle = np.arccos(cos)
+    away = np.maximum(angle - high, low - angle)
+    own = np.take_along_axis(cos, home[:, None], axis=1)
+    # |p - r| from their product, a row at a time of the home pivots
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 1e-12))
+    plane = np.arcsin(np.clip((own - cos) / apart, -1, 1))
+    plane[apart < 1e-5] = 0.0  # pivots in one place part nothing
+    return np.cos(np.clip(np.maximum(away, plane), 0, np.pi))
+
+
+def cell_visits(best: DataFrame, key: str, vector: str, pivots: np.ndarray, bounds: dict[int, tuple[float, float]]) -> DataFrame:
+    """(key, vector, _cell) for the cells besides its own that may hold a better neighbour of a query.
+
+    ``best`` has a query's ``_cell`` and ``_floor``, the similarity that its k-th neighbour so far reaches.
+    ``bounds``: the angles to its pivot between which a cell of the corpus lies, at most ``MAX_PIVOTS`` + 1 entries.
+    """
+    cells = np.array(sorted(bounds), dtype=np.int64)
+    real = cells[cells < len(pivots)]
+    low, high = (np.array([bounds[c][i] for c in real]) for i in (0, 1))
+    schema = T.StructType([best.schema[key], best.schema[vector], T.StructField("_cell", T.IntegerType())])
+
+    def visits(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            home, floor = pdf["_cell"].to_numpy(), pdf["_floor"].to_numpy()
+            for at in range(0, len(pdf), 256):  # 256 x pivots numbers at a time
+                part = slice(at, at + 256)
+                unit, short = _directions(_matrix(pdf[vector].iloc[part]))
+                go = np.ones((len(unit), len(cells)), dtype=bool)  # the cell of short vectors is always met
+                if len(real):
+                    # a cell's members lie nearer to its pivot than to any other, also those without members
+                    cos = _highest_similarity(unit, np.where(short, 0, np.minimum(home[part], len(pivots) - 1)), pivots,
+                                              *_spread(real, low, high, len(pivots)))[:, real]
+                    go[:, :len(real)] = (cos >= floor[part][:, None] - SIM_SLACK) | short[:, None]
+                go &= cells[None, :] != home[part][:, None]
+                q, c = np.nonzero(go)
+                yield pd.DataFrame({key: pdf[key].iloc[part].to_numpy()[q], vector: pdf[vector].iloc[part].to_numpy()[q], "_cell": cells[c].astype(np.int32)})
+
+    return best.select(key, vector, "_cell", "_floor").mapInPandas(visits, schema)
+
+
+def _spread(real: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of all n pivots, open ones where a cell has no members."""
+    out = np.zeros(n), np.full(n, np.pi)
+    out[0][real], out[1][real] = low, high
+    return out
+
+
+def pivot_knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, min_sim: float | None = None,
+              exclude_self: bool = True, chunk: int = CHUNK, pivots: int | None = None) -> DataFrame:
+    """(query, neighbour, similarity): as ``knn``, but a query meets only the cells that can hold a neighbour.
+
+    Exact. Every vector belongs to the cell of its nearest pivot. A query first meets its own cell; the k-th similarity
+    found there (or ``min_sim``, which drops less similar neighbours) says which other cells it must visit. Cells of any
+    size are cut into a grid of chunks. Null vectors have no neighbours; short ones meet all cells.
+    """
+    q, c = (df.where(F.col(vector).isNotNull()).select(key, vector) for df in (queries, corpus))
+    at = pivot_rows(c, key, vector, pivots)
+    q, c = cut(with_cell(q, vector, at), "queries"), cut(with_cell(c, vector, at), "cells")
+    bounds = {r[0]: (r[1], r[2]) for r in c.groupBy("_cell").agg(F.min("_angle"), F.max("_angle")).collect()}  # a row per pivot
+    floor = -2.0 if min_sim is None else min_sim
+
+    first = cut(_meet(q, c, key, vector, k, exclude_self, chunk, floor), "own-cell")
+    kth = first.groupBy("query").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_kth"))
+    best = q.join(kth, q[key] == kth["query"], "left").withColumn(
+        "_floor", F.greatest(F.when(F.col("_n") >= k, F.col("_kth")), F.lit(floor)))
+    visits = cut(cell_visits(best, key, vector, at, bounds), "visits")
+    more = _meet(visits, c, key, vector, k, exclude_self, chunk, floor)
+    return top_k_per_group(first.unionByName(more), ["query"], [F.desc("similarity"), "neighbour"], k)
+
+
+def _meet(q: DataFrame, c: DataFrame, key: str, vector: str, k: int, exclude_self: bool, chunk: int, floor: float) -> DataFrame:
+    """The k best of every query among the corpus rows of the cells it is listed for."""
+    sizes = lambda df, n: df.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(n))
+    grid = cut(sizes(q, "_nq").join(sizes(c, "_nc"), "_cell"), "grid")  # a row per cell
+    slot = lambda n: F.pmod(F.xxhash64(key), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(grid, "_cell").select("_cell", key, vector, slot(F.col("_nq")).alias("_qb"), all_of("_nc").alias("_cb"))
+    c = c.join(grid, "_cell").select("_cell", key, vector, slot(F.col("_nc")).alias("_cb"), all_of("_nq").alias("_qb"))
+    keys = ["_cell", "_qb", "_cb"]
+    best = q.groupBy(*keys).cogroup(c.toDF(*c.columns).groupBy(*keys)).applyInPandas(
+        _best_of(key, vector, k, exclude_self, floor), _neighbour_schema(q, key))
+    return top_k_per_group(best, ["query"], [F.desc("similarity"), "neighbour"], k)
+
+
+def _neighbour_schema(df: DataFrame, key: str) -> T.StructType:
+    id_type = df.schema[key].dataType
+    return T.StructType([T.StructField("query", id_type), T.StructField("neighbour", id_type),
+                         T.StructField("similarity", T.DoubleType())])
+
+
+def _best_of(key: str, vector: str, k: int, exclude_self: bool, floor: float = -np.inf):
+    """The k best of a chunk of queries in a chunk of the corpus, one matrix product."""
     def unit_rows(column):
-        m = np.vstack([np.asarray(v, dtype=np.float64) for v in column])
-        return m / (np.linalg.norm(m, axis=1, keepdims=True) + epsilon)
+        m = _matrix(column)
+        return m / (np.linalg.norm(m, axis=1, keepdims=True) + vec.NORM_EPSILON)
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -78,18 +224,16 @@ def knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, wi
         n = min(k, sims.shape[1])
         top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
         vals = np.take_along_axis(sims, top, axis=1).ravel()
-        keep = vals > -np.inf
+        keep = (vals > -np.inf) & (vals >= floor)
         return pd.DataFrame({"query": np.repeat(qids, n)[keep], "neighbour": cids[top.ravel()][keep], "similarity": vals[keep]})
 
-    keys = [*groups, "_qb", "_cb"]
-    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(cell, schema)
-    return top_k_per_group(best, ["query"], [F.desc("similarity"), "neighbour"], k)
+    return cell
 
 
 def support(members: DataFrame, corpus: DataFrame, entities: DataFrame, key: str = "case_id", vector: str = "embedding",
             entity: str = "person_key", k: int = 12, min_sim: float = 0.75) -> DataFrame:
     """Summed similarity per entity over the entities of the members' near neighbours."""
-    near = knn(members, corpus, key, vector, k).withColumn("similarity", python_round("similarity", 3))
+    near = pivot_knn(members, corpus, key, vector, k, min_sim=min_sim - 0.001).withColumn("similarity", python_round("similarity", 3))
     near = near.where(F.col("similarity") >= min_sim).select(F.col("neighbour").alias(key), "similarity")
     # a neighbour reached from many members is summed before it meets its entities
     per_case = near.groupBy(key).agg(F.sum("similarity").alias("_s"))

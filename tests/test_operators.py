@@ -85,6 +85,49 @@ def test_knn_grid_equals_brute_force(spark):
     assert got == {i: set(np.argsort(-sims[i])[:4].tolist()) for i in range(90)}
 
 
+def _grid_and_pivots(spark, vecs, k=4, **more):
+    df = spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in enumerate(vecs)], "id int, e array<double>")
+    rows = lambda out: sorted((r["query"], r["neighbour"], round(r["similarity"], 9)) for r in out.collect())
+    return rows(nb.knn(df, df, "id", "e", k)), rows(nb.pivot_knn(df, df, "id", "e", k, **more))
+
+
+@pytest.mark.parametrize("pivots", [1, 7, None])
+def test_pivot_search_equals_grid(spark, pivots):
+    """Clusters, copies of one vector (a third of all), short, zero and null vectors, small chunks."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5)) * 4
+    vecs = [*(centres[i % 6] + rng.normal(size=5) * 0.3 for i in range(120)), *[centres[0]] * 70, np.zeros(5), np.zeros(5), np.full(5, 1e-9), None]
+    grid, found = _grid_and_pivots(spark, vecs, chunk=16, pivots=pivots)
+    assert found == grid and len(grid) == 4 * 193
+
+
+def test_pivot_search_with_a_least_similarity(spark):
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(150, 4))
+    grid, found = _grid_and_pivots(spark, vecs, min_sim=0.9)
+    assert found == [r for r in grid if r[2] >= 0.9] and 0 < len(found) < len(grid)
+
+
+def test_pivot_search_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id int, e array<double>")
+    assert nb.pivot_knn(df, df, "id", "e", 3).count() == 0
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, e array<double>")
+    assert nb.pivot_knn(one, df, "id", "e", 3).count() == 0 and nb.pivot_knn(one, one, "id", "e", 3).count() == 0
+
+
+def test_queries_visit_few_cells_of_clustered_vectors(spark):
+    """Well-parted clusters: a query leaves its cell only for pivots of its own cluster."""
+    rng = np.random.default_rng(10)
+    centres = np.eye(8) * 10
+    df = spark.createDataFrame([(i, (centres[i % 8] + rng.normal(size=8) * 0.1).tolist()) for i in range(400)], "id int, e array<double>")
+    at = nb.pivot_rows(df, "id", "e", 60)
+    cells = nb.with_cell(df, "e", at).cache()
+    bounds = {r[0]: (r[1], r[2]) for r in cells.groupBy("_cell").agg(F.min("_angle"), F.max("_angle")).collect()}
+    visits = nb.cell_visits(cells.withColumn("_floor", F.lit(0.99)), "id", "e", at, bounds)
+    own = dict(enumerate(np.argmax(at @ np.eye(8), axis=1)))  # the cluster of a pivot
+    assert set(own.values()) == set(range(8)) and all(own[r["_cell"]] == r["id"] % 8 for r in visits.collect())
+
+
 def _cases(spark, n=220, seed=6):
     rng = random.Random(seed)
     rows = [(i, rng.choice(["x", "y"]), dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(700)), 12 + rng.random() * 3, 75 + rng.random() * 3,
