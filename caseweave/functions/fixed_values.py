@@ -98,3 +98,13 @@ PACK_PRESENT_SOURCE = "BriefFacts / arrest records"
 PACK_MISSING_SOURCE = "not yet established — investigation gap"
 PACK_DEFAULT_WINDOW = "next 1-2 weeks"
 NO_COMMON_FEATURE = "recurring MO"
+
+# Wording of leads.
+LEAD_METRICS = {"spike": "stl_residual_z", "repeat_offender": "matching_unsolved_within_3km", "series_growth": "new_cases_14d"}
+LEAD_WINDOW = "last %dd"
+LEAD_SPIKE_TITLE = "%s %.1fx baseline — %s"
+LEAD_SPIKE_ACTION = "Increase night patrols and pickets around %s for the next 14 days."
+LEAD_REPEAT_TITLE = "Possible re-offending by %s near home turf"
+LEAD_REPEAT_ACTION = "Question %s; verify alibi for the %d unsolved cases near their residence."
+LEAD_GROWTH_TITLE = "Series %s grew by %d cases"
+LEAD_GROWTH_ACTION = "Escalate %s (%s) to a special team."

@@ -66,3 +66,22 @@ def rank(scores: DataFrame, entity: str, k: int = 10, min_rows: int = 2, prefilt
     if prefilter is not None:
         pool = pool.orderBy(F.desc("n_cases"), entity).limit(prefilter)
     return pool.orderBy(F.desc("score"), entity).limit(k)
+
+
+def rank_pool(history: DataFrame, scores: DataFrame, entity: str, where: Column | None = None, k: int = 10, min_rows: int = 2,
+              prefilter: int | None = 40) -> DataFrame:
+    """The k highest scores among the entities with most rows in a part of the history, such as one district.
+
+    ``where`` chooses the rows that count for the pool; the score itself is over an
+    entity's whole history. ``pool_rows`` is the number of rows in that part; id breaks ties.
+    """
+    part = history if where is None else history.where(where)
+    pool = part.groupBy(entity).agg(F.count(F.lit(1)).alias("pool_rows")).where(F.col("pool_rows") >= min_rows)
+    if prefilter is not None:
+        pool = pool.orderBy(F.desc("pool_rows"), entity).limit(prefilter)
+    return scores.join(pool, entity).orderBy(F.desc("score"), entity).limit(k)
+
+
+def history_rows(ranked: DataFrame, history: DataFrame, entity: str, case: str = "case_id") -> DataFrame:
+    """(entity, case): the distinct records behind each ranked entity, as a child table."""
+    return history.join(ranked.select(entity), entity, "left_semi").select(entity, case).distinct()
