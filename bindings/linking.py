@@ -13,6 +13,7 @@ from caseweave.operators import clusters, hierarchy, linkage as lk, neighbours a
 from caseweave.plans.lineage import cut
 
 from . import model as m
+from .analytics import hex_sql
 from .registry import Registry
 from .scalars import E64, HAVERSINE_SQL, TOD_SQL, cue_sql
 
@@ -60,12 +61,29 @@ q("k3_features", f"""SELECT c.conv_id, c.turn, 'night' AS tod_bucket, 0 AS dow,
         "text", "ts", "lat", "lon").select("conv_id", "turn", "features.tod_bucket", "features.dow", "features.vehicle", "features.target", "features.weapon", "features.entry"))
 
 
-@q("k4_text_vectors")
-def _text_vectors(s, d):
-    out = lk.text_vectors(m.table(s, d, "conversations"), "text", 64)
-    return out.select("conv_id", "turn", F.size("embedding").alias("dim"), F.round(vec.norm("embedding"), 6).alias("norm"))
+# hour, weekday and cell of an event that bears the conversation's number; the place is that of its user
+q("k3_features_placed", f"""SELECT c.conv_id, c.turn, {TOD_SQL.format('e.ts')} AS tod_bucket, CAST(isodow(e.ts) - 1 AS INT) AS dow, {hex_sql(m.lat_sql('e.user_id'), m.lon_sql('e.user_id'), 8)} AS cell,
+{cue_sql('text', fx.WEAPON_CUES)} AS weapon FROM conversations c JOIN events e ON e.event_id = c.conv_id""")(
+    lambda s, d: lk.extract_features(_placed(s, d), "text", "ts", "lat", "lon").select("conv_id", "turn", "features.tod_bucket", "features.dow", "features.cell", "features.weapon"))
 
 
+def _placed(s, d):
+    events = m.table(s, d, "events").select(F.col("event_id").alias("conv_id"), "ts", m._lat("user_id").alias("lat"), m._lon("user_id").alias("lon"))
+    return m.table(s, d, "conversations").join(events, "conv_id")
+
+
+GRAMS = 64
+K4_CTE = f"""
+c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, row_number() OVER () AS rid FROM conversations),
+g AS (SELECT rid, ('0x' || substr(md5(substr(t, i, 3)), 1, 8))::UBIGINT % {GRAMS} AS bucket FROM (SELECT rid, t, unnest(range(1, length(t) - 1)) AS i FROM c)),
+tf AS (SELECT rid, bucket, count(*) AS n FROM g GROUP BY ALL),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM c) + 1)::DOUBLE / (count(*) + 1)) AS w FROM tf GROUP BY bucket),
+tw AS (SELECT rid, bucket, n * w AS w FROM tf JOIN idf USING (bucket)),
+len AS (SELECT rid, sqrt(sum(w * w)) AS l FROM tw GROUP BY rid)"""
+q("k4_text_vectors", m.sql("SELECT conv_id, turn, CAST(bucket AS INT) AS bucket, round(w / l, 6) + 0.0 AS weight FROM tw JOIN len USING (rid) JOIN c USING (rid) WHERE abs(w / l) > 1e-6", K4_CTE))(
+    lambda s, d: lk.text_vectors(m.table(s, d, "conversations"), "text", GRAMS).select("conv_id", "turn", F.posexplode("embedding").alias("bucket", "weight"))
+    .where("abs(weight) > 1e-6").withColumn("weight", F.round("weight", 6)))
+
 # ---- linkable cases ---------------------------------------------------------------
 
 

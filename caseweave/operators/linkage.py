@@ -13,8 +13,6 @@ import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fx, geo, temporal as tm, text as tx, vectors as vec
@@ -57,20 +55,56 @@ def extract_features(df: DataFrame, text: str, ts: str, lat: str, lon: str, reso
         tx.cue_label(text, fx.TARGET_CUES).alias("target")))
 
 
+def gram_counts(text: Column | str, dim: int, n: int) -> Column:
+    """Array of (bucket, count) of a text's lower-case character n-grams; empty for null or shorter texts.
+
+    The bucket is the first eight hex digits of the md5 of a gram modulo ``dim``, which any
+    engine can repeat. Buckets are sorted once and counted by where each run begins, so a
+    text of any length takes n log n steps.
+    """
+    chars = F.regexp_extract_all(F.lower(F.coalesce(tx._col(text), F.lit(""))), F.lit("(?s)."), F.lit(0))  # code points
+    gram = lambda c, i: F.concat(*[F.get(c, i + k) for k in range(n)])  # noqa: E731 - substr would walk from the start each time
+    bucket = lambda c, i: F.pmod(F.conv(F.substring(F.md5(gram(c, i).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    every = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: bucket(c, i)))
+    sorted_buckets = tx.let(chars, lambda c: F.sort_array(F.coalesce(every(c), F.array().cast("array<int>"))))
+
+    def runs(b: Column) -> Column:
+        first = lambda e: (e["i"] == 0) | (F.get(b, e["i"] - 1) != e["b"])
+        starts = F.filter(F.transform(b, lambda x, i: F.struct(x.alias("b"), i.alias("i"))), first)
+        return tx.let(starts, lambda s: F.transform(s, lambda e, j: F.struct(
+            e["b"].alias("bucket"), (F.coalesce(F.get(s, j + 1)["i"], F.size(b)) - e["i"]).alias("count"))))
+
+    return tx.let(sorted_buckets, runs)
+
+
 def text_vectors(df: DataFrame, text: str, dim: int = 256, n: int = 3, name: str = "embedding") -> DataFrame:
     """Unit vectors of hashed character n-grams weighted by inverse document frequency.
 
     Stands in for a sentence model: any column of equal-length arrays serves the operators.
+    A count is weighted by ln((rows + 1) / (rows with the bucket + 1)); a text without grams,
+    or with none but those of every text, has the zero vector. Vectors stay sparse until
+    the last step; the frequencies are one row of at most ``dim`` entries.
     """
-    chars = RegexTokenizer(inputCol="_text", outputCol="_chars", pattern="(?s)(.)", gaps=False, toLowercase=True)
-    grams = NGram(n=n, inputCol="_chars", outputCol="_grams")
-    counts = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_tf")
-    texts = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    staged = counts.transform(grams.transform(chars.transform(texts))).select(*df.columns, "_tf")
-    staged = cut(staged, "term-counts")  # read twice: for the frequencies and for the weights
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(staged).transform(staged)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.select(*df.columns, vector_to_array("_unit").alias(name))
+    staged = cut(df.withColumn("_grams", gram_counts(text, dim, n)), "term-counts")  # read twice: for the frequencies and for the weights
+    rows = staged.agg(F.count(F.lit(1))).scalar()
+    found = staged.select(F.explode("_grams.bucket").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df"))
+    idf = found.select("b", F.log((rows + 1) / (F.col("df") + 1)).alias("w"))
+    listed = idf.agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    table = listed.select(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))).scalar()
+    zeros = lambda count: F.array_repeat(F.lit(0.0), count)
+
+    def unit(w: Column) -> Column:
+        length = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
+        return tx.let(length, lambda n: F.transform(w, lambda g: F.struct(g["bucket"].alias("bucket"), F.when(n > 0, g["w"] / n).otherwise(0.0).alias("w"))))
+
+    def filled(w: Column) -> Column:
+        """Buckets are in order, so the zeros between two of them are a run."""
+        before = lambda j: F.coalesce(F.get(w, j)["bucket"], F.lit(-1))
+        parts = F.transform(w, lambda g, j: F.concat(zeros(g["bucket"] - before(j - 1) - 1), F.array(g["w"])))
+        return F.concat(F.flatten(parts), zeros(dim - 1 - before(F.size(w) - 1)))
+
+    weighted = tx.let(F.col("_idf"), lambda idf: F.transform("_grams", lambda g: F.struct(g["bucket"].alias("bucket"), (g["count"] * idf[g["bucket"]]).alias("w"))))
+    return staged.withColumn("_idf", table).select(*df.columns, tx.let(tx.let(weighted, unit), filled).alias(name))
 
 
 def blocks_of_size(df: DataFrame, block: str, low: int) -> DataFrame:

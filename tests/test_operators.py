@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import collections
+import hashlib
+import math
 import datetime as dt
 import itertools
 import random
@@ -128,6 +131,25 @@ def test_queries_visit_few_cells_of_clustered_vectors(spark):
     assert set(own.values()) == set(range(8)) and all(own[r["_cell"]] == r["id"] % 8 for r in visits.collect())
 
 
+def test_text_vectors_follow_their_definition(spark):
+    """Null, empty, short, repeated and non-Latin texts; a clashing column name passes through."""
+    texts = ["The red car", "the RED car and the red van", None, "", "ab", "наш дом", "abc" * 400, "the red car", "𝒳yz𝒳yz"]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id int, t string, bucket int")
+    dim, n = 16, 3
+    counts = []
+    for t in texts:
+        low = (t or "").lower()
+        counts.append(collections.Counter(int(hashlib.md5(low[i:i + n].encode()).hexdigest()[:8], 16) % dim for i in range(len(low) - n + 1)))
+    idf = {b: math.log((len(texts) + 1) / (sum(b in c for c in counts) + 1)) for c in counts for b in c}
+    rows = lk.text_vectors(df, "t", dim, n).orderBy("id").collect()
+    assert [r["bucket"] for r in rows] == list(range(len(texts)))
+    for r, c in zip(rows, counts, strict=True):
+        raw = np.array([c[b] * idf.get(b, 0.0) for b in range(dim)])
+        want = raw / np.linalg.norm(raw) if raw.any() else raw
+        assert np.allclose(r["embedding"], want, atol=1e-12)
+    assert lk.text_vectors(df.where("id < 0"), "t", dim, n).count() == 0
+
+
 def _cases(spark, n=220, seed=6):
     rng = random.Random(seed)
     rows = [(i, rng.choice(["x", "y"]), dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(700)), 12 + rng.random() * 3, 75 + rng.random() * 3,
