@@ -29,9 +29,9 @@ def mentions(s, d):
     return m.table(s, d, "documents").select(F.col("doc_id").alias("case_id"), F.explode(tx.identifiers("text", IDENT)).alias("ident"))
 
 
-def graph(s, d):
+def graph(s, d, **more):
     return gr.build(persons(s, d), m.accused(s, d), v.co_occurrence(m.accused(s, d), "case_id", "person_key", "accused_id"),
-                    mentions(s, d), min_cases=2)
+                    mentions(s, d), min_cases=2, **more)
 
 
 ACC = "accused_edges AS (SELECT DISTINCT 'C-' || case_id AS a, 'P-' || person_key AS b, 'accused_in' AS kind FROM accused)"
@@ -57,6 +57,9 @@ TAG = " -- accused registry"
 
 q("g1_nodes", m.sql("SELECT 'P-' || person_key AS id, 'person' AS kind, full_name AS label FROM registry UNION ALL SELECT DISTINCT a, 'case', a FROM edges WHERE a LIKE 'C-%'" + TAG, EDGES))(
     lambda s, d: graph(s, d).nodes)
+q("g1_nodes_with_meta", m.sql("SELECT 'P-' || person_key AS id, 'person' AS kind, full_name AS label, NULL::VARCHAR AS crime_sub_head, NULL::VARCHAR AS district FROM registry UNION ALL "
+                               "SELECT n.id, 'case', n.id, crime_sub_head, district FROM (SELECT DISTINCT a AS id FROM edges WHERE a LIKE 'C-%') n LEFT JOIN case_360 c ON 'C-' || c.case_id = n.id" + TAG, EDGES))(
+    lambda s, d: graph(s, d, case_meta=m.cases(s, d, ["case_id", "crime_sub_head", "district"])).nodes)
 q("g2_accused_in", m.sql("SELECT * FROM accused_edges" + TAG, ACC))(lambda s, d: gr.accused_edges(m.accused(s, d)))
 q("g3_co_accused", m.sql("SELECT * FROM co_edges" + TAG, CO))(
     lambda s, d: gr.co_accused_edges(v.co_occurrence(m.accused(s, d), "case_id", "person_key", "accused_id")))

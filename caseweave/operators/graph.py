@@ -76,16 +76,19 @@ def hub_edges(mentions: DataFrame, links: DataFrame, person: str = "person_key",
 
 def build(persons: DataFrame, links: DataFrame, pairs: DataFrame, mentions: DataFrame | None = None,
           case_labels: DataFrame | None = None, person: str = "person_key", label: str = "full_name",
-          home: str = "home_cell", case: str = "case_id", min_cases: int = 3) -> Graph:
+          home: str = "home_cell", case: str = "case_id", min_cases: int = 3, home_sizes: tuple[int, int] = (2, 4),
+          case_meta: DataFrame | None = None) -> Graph:
     """All persons, the cases that occur in an edge, and the edges of all kinds.
 
-    Only persons of the registry take part. ``case_labels`` is (case, label).
+    Only persons of the registry take part. ``case_labels`` is (case, label). ``case_meta``
+    is (case, ...): its other columns become columns of the nodes, null for persons and for
+    cases it does not hold. ``home_sizes`` are the least and most persons of a home that ties them.
     """
     links = links.join(persons.select(person), person, "left_semi").select(person, case)
     for end in ("person_a", "person_b"):
         pairs = pairs.join(persons.select(F.col(person).alias(end)).distinct(), end, "left_semi")
     edges = accused_edges(links, person, case).unionByName(co_accused_edges(pairs))
-    edges = edges.unionByName(same_address_edges(persons, person, home))
+    edges = edges.unionByName(same_address_edges(persons, person, home, *home_sizes))
     if mentions is not None:
         edges = edges.unionByName(hub_edges(mentions, links, person, case, min_cases=min_cases))
     edges = cut(edges, "edges")
@@ -95,7 +98,14 @@ def build(persons: DataFrame, links: DataFrame, pairs: DataFrame, mentions: Data
     if case_labels is not None:
         named = case_labels.select(case_id(case).alias("id"), F.col("label").cast("string").alias("_label"))
         case_nodes = in_edges.join(named, "id", "left").select("id", F.lit("case").alias("kind"), F.coalesce("_label", "id").alias("label"))
-    return Graph(person_nodes.unionByName(case_nodes), edges)
+    if case_meta is not None:
+        columns = [c for c in case_meta.columns if c != case]
+        clash = sorted({c.lower() for c in columns} & {"id", "kind", "label"})
+        if clash:
+            raise ValueError(f"case_meta would overwrite node columns: {clash}")
+        meta = case_meta.select(case_id(case).alias("id"), *columns)
+        case_nodes = case_nodes.join(meta, "id", "left")
+    return Graph(person_nodes.unionByName(case_nodes, allowMissingColumns=True), edges)
 
 
 def simple(edges: DataFrame) -> DataFrame:

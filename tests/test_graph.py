@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseweave.operators import communities as cm, graph as gr
@@ -32,6 +33,20 @@ def test_homes_of_two_to_four_only(spark):
     assert [tuple(r) for r in g.edges.where("kind = 'same_address'").select("a", "b").collect()] == [("P-2", "P-3")]
 
 
+def test_cases_carry_their_meta_and_homes_their_limits(spark):
+    persons = spark.createDataFrame([(i, f"n{i}", "h") for i in range(5)], "person_key int, full_name string, home_cell string")
+    links = spark.createDataFrame([(0, 7), (1, 8)], "person_key int, case_id int")
+    pairs = spark.createDataFrame([], "person_a int, person_b int")
+    meta = spark.createDataFrame([(7, "theft", "City"), (99, "fraud", "City")], "case_id int, crime_sub_head string, district string")
+    g = gr.build(persons, links, pairs, home_sizes=(2, 5), case_meta=meta)
+    got = {r["id"]: (r["kind"], r["crime_sub_head"], r["district"]) for r in g.nodes.collect()}
+    assert got["C-7"] == ("case", "theft", "City") and got["C-8"] == ("case", None, None) and got["P-0"] == ("person", None, None)
+    assert len(got) == 7 and g.edges.where("kind = 'same_address'").count() == 10
+    assert gr.build(persons, links, pairs).edges.where("kind = 'same_address'").count() == 0
+    with pytest.raises(ValueError, match="label"):
+        gr.build(persons, links, pairs, case_meta=meta.withColumnRenamed("district", "label"))
+
+
 def test_paths(spark):
     g = _hub_graph(spark)
     assert [r["id"] for r in gr.shortest_path(g, "P-1", "P-3").orderBy("step").collect()] == ["P-1", "C-3", "P-3"]
