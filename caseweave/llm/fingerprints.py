@@ -1,12 +1,12 @@
 """Winnowed document fingerprints, and the likeness of each document to its neighbour.
 
-DataFrame functions only. Tokens are runs of up to eight visible characters, so words keep
-their place and text without spaces is still cut up. Hashes of four tokens roll by doubling
-(two passes); each window of eight such hashes keeps its smallest, of equal ones the
-rightmost, with its position. Texts that share eleven tokens in a row share a print.
+DataFrame functions only. Every run of sixteen code points is hashed, read at its place in
+the text's fixed-width form, so spaces play no part and any script is treated alike; each
+window of 32 such hashes keeps its smallest, of equal ones the rightmost, with its position.
+Texts that share 47 code points in a row share a print.
 
-Defined cases: null counts as empty; a text without tokens has no print, and two such texts
-have likeness 1; a text of fewer than four tokens has one hash, of fewer than eight hashes
+Defined cases: null counts as empty; an empty text has no print, and two such texts have
+likeness 1; a text of fewer than 16 code points has one hash, of fewer than 32 hashes
 one print; equal ids are ordered by text; null ids come last; the last document's neighbour
 is the first; a single document is its own; an empty table gives an empty result.
 """
@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..plans.lineage import cut
 from .quality_rules import let
 
-TOKEN = r"\S{1,8}"
-GRAM = 4
-WINDOW = 8
+GRAM = 16
+WINDOW = 32
+#: Bytes of a code point in UTF-32.
+_WIDTH = 4
 #: Ids are cut at so many quantiles, each of those evenly into buckets of about so many rows.
 QUANTILES = 256
 BUCKET_ROWS = 4096
+#: Buckets are put in order within spans of so many numbers, then the spans among themselves.
+SPAN = 4096
 
 _POSITION_BITS = 31
 _LAST = (1 << _POSITION_BITS) - 1
@@ -42,20 +45,20 @@ def _doubled(values: Column, width: int, combine) -> Column:
 
 
 def prints(text: Column) -> Column:
-    """array<bigint> of 32 bits of hash above the token position counted down from 2^31 - 1."""
-    def grams(tokens: Column) -> Column:
-        return F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).when(
-            F.size(tokens) < GRAM, F.array(F.xxhash64(tokens))).otherwise(
-            _doubled(F.transform(tokens, lambda x: F.xxhash64(x)), GRAM, lambda a, b: F.xxhash64(a, b)))
+    """array<bigint> of 32 bits of hash above the code point's position counted down from 2^31 - 1."""
+    def packed(points: Column) -> Column:
+        n = F.octet_length(points) / _WIDTH
+        places = F.when(n == 0, F.array().cast("array<int>")).otherwise(
+            F.sequence(F.lit(0), F.greatest(n.cast("int") - GRAM, F.lit(0))))
+        return F.transform(places, lambda i: F.shiftleft(
+            F.xxhash64(F.substring(points, i * _WIDTH + 1, F.lit(GRAM * _WIDTH))).bitwiseAND(F.lit(0xFFFFFFFF)),
+            _POSITION_BITS).bitwiseOR(F.lit(_LAST) - i))
 
-    def chosen(packed: Column) -> Column:
-        return F.when(F.size(packed) == 0, packed).when(F.size(packed) < WINDOW, F.array(F.array_min(packed))).otherwise(
-            F.array_distinct(_doubled(packed, WINDOW, lambda a, b: F.least(a, b))))
+    def chosen(values: Column) -> Column:
+        return F.when(F.size(values) == 0, values).when(F.size(values) < WINDOW, F.array(F.array_min(values))).otherwise(
+            F.array_distinct(_doubled(values, WINDOW, lambda a, b: F.least(a, b))))
 
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    packed = F.transform(let(tokens, grams), lambda h, i: F.shiftleft(
-        h.bitwiseAND(F.lit(0xFFFFFFFF)), _POSITION_BITS).bitwiseOR(F.lit(_LAST) - i))
-    return let(packed, chosen)
+    return let(let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), packed), chosen)
 
 
 def hash_of(p: Column) -> Column:
@@ -90,7 +93,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _bucket(rows: DataFrame) -> Column:
-    """A number that falls with the id; about BUCKET_ROWS ids share one. Null ids have the least."""
+    """A number that rises with the id; about BUCKET_ROWS ids share one. Null ids have the least."""
     got = rows.agg(F.count("doc_id").alias("n"), F.percentile_approx(
         "doc_id", [i / QUANTILES for i in range(QUANTILES)], 10 * QUANTILES).alias("q"), F.max("doc_id").alias("top")).first()
     if not got["n"]:
@@ -106,6 +109,19 @@ def _bucket(rows: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(place)
 
 
+def _following(heads: DataFrame) -> DataFrame:
+    """(head, to): the bucket after each head's own, and after the last the first.
+
+    Only the first bucket of each span, one row in up to SPAN, is put in one order.
+    """
+    spans = heads.withColumn("span", F.floor(F.col("bucket") / SPAN))
+    along = Window.orderBy("span")
+    first = spans.groupBy("span").agg(F.min("bucket").alias("first"))
+    after = first.select("span", F.coalesce(F.lead("first").over(along), F.min("first").over(Window.partitionBy())).alias("after"))
+    inside = spans.withColumn("to", F.lead("bucket").over(Window.partitionBy("span").orderBy("bucket")))
+    return inside.join(after, "span").select("head", F.coalesce("to", "after").alias("to"))
+
+
 def with_next(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows (doc_id, text) with ``columns`` and, under next, those of the row that follows by falling id.
 
@@ -114,9 +130,7 @@ def with_next(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     rows = rows.withColumn("bucket", _bucket(rows))
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    up = Window.orderBy("bucket")  # one row per bucket
-    target = F.coalesce(F.lead("bucket").over(up), F.first("bucket").over(up))
-    guests = cut(heads.select("head", target.alias("to")), "heads")
+    guests = cut(_following(cut(heads, "heads")), "guests")
     moved = rows.join(guests, rows["doc_id"].eqNullSafe(guests["head"])).select(
         "doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("guest"))
     every = rows.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(moved).withColumns(columns)

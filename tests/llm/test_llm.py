@@ -573,9 +573,19 @@ def test_registers_agree_with_probability_jaccard():
 
 # 9 fingerprints
 
-def winnow(text):
-    tokens = re.findall(r"\S{1,8}", text or "", re.ASCII)
-    return tokens
+def winnow(spark, texts):
+    """{text: [(hash, position), ...]} window by window, as defined."""
+    grams = {t: [t[i:i + fingerprints.GRAM] for i in range(max(len(t) - fingerprints.GRAM, 0) + 1)] if t else [] for t in texts}
+    every = [(g,) for g in {g for v in grams.values() for g in v}]
+    hashes = {r["g"]: r["h"] & 0xFFFFFFFF for r in spark.createDataFrame(every, "g string").select(
+        "g", F.xxhash64(F.encode("g", "UTF-32")).alias("h")).collect()}
+    out = {}
+    for t, g in grams.items():
+        h = [hashes[x] for x in g]
+        best = [min(range(i, min(i + fingerprints.WINDOW, len(h))), key=lambda j: (h[j], -j))
+                for i in range(max(len(h) - fingerprints.WINDOW, 0) + 1)] if h else []
+        out[t] = [(h[j], j) for j in dict.fromkeys(best)]
+    return out
 
 
 def test_fingerprints(spark, corpus):
@@ -593,26 +603,42 @@ def test_fingerprints(spark, corpus):
         by_text[edited].add(got[i]["edited_fingerprint"])
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
     assert all(len(v) == 1 for v in by_text.values())
+    edits = {i: text[i][:len(text[i]) - len(text[i]) // 2] + text[j][:len(text[i]) // 2] for i, j in zip(order, [*order[1:], order[0]])}
+    sets = {t: {h for h, _ in v} for t, v in winnow(spark, {*text.values(), *edits.values()}).items()}
+    for i, j in zip(order, [*order[1:], order[0]]):
+        for name, other in (("near_edited", edits[i]), ("near_next", text[j])):
+            x, y = sets[text[i]], sets[other]
+            assert got[i][name] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
     long = [i for i in text if len(text[i]) > 300]
     assert np.mean([got[i]["near_edited"] for i in long]) > 0.25
 
 
 def test_windows_keep_their_rightmost_minimum(spark):
     rng = random.Random(9)
-    tokens = [rng.choice("abcd") for _ in range(120)]
-    docs = spark.createDataFrame([(1, " ".join(tokens)), (2, "a b c"), (3, ""), (4, "a b c d e f")], "doc_id long, text string")
+    texts = ["".join(rng.choice("ab ") for _ in range(600)), "a" * 100, "日本語" * 30, "𝄞" * 15 + "x" * 40, "short", " ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [(p["hash"], p["position"]) for p in r["prints"]] for r in fingerprints.fingerprint(docs).collect()}
-    per = {r["t"]: r["h"] for r in spark.createDataFrame([(c,) for c in "abcd"], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
-    pairs = spark.createDataFrame([(i, per[tokens[i]], per[tokens[i + 1]]) for i in range(119)], "i int, a long, b long")
-    two = {r["i"]: r["h"] for r in pairs.select("i", F.xxhash64("a", "b").alias("h")).collect()}
-    four = spark.createDataFrame([(i, two[i], two[i + 2]) for i in range(117)], "i int, a long, b long")
-    h = [r["h"] & 0xFFFFFFFF for r in four.select("i", F.xxhash64("a", "b").alias("h")).orderBy("i").collect()]
-    want = []
-    for i in range(len(h) - fingerprints.WINDOW + 1):
-        j = min(range(i, i + fingerprints.WINDOW), key=lambda x: (h[x], -x))
-        if (h[j], j) not in want:
-            want.append((h[j], j))
-    assert got[1] == want and len(got[2]) == len(got[4]) == 1 and got[3] == []
+    want = winnow(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [want[t] for t in texts]
+    assert len(got[4]) == len(got[5]) == 1 and got[6] == []
+    assert [p for _, p in got[1]] == list(range(31, 85))  # of equal hashes the rightmost
+
+
+def test_texts_without_spaces_keep_their_prints_after_an_insertion(spark):
+    rng = random.Random(10)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1200))
+    shared = text[500:500 + fingerprints.GRAM + fingerprints.WINDOW - 1]
+    docs = spark.createDataFrame([(1, text), (2, text[:30] + "x" + text[30:]), (3, "x" * 77 + shared + "y" * 50)], "doc_id long, text string")
+    got = {r["doc_id"]: {p["hash"] for p in r["prints"]} for r in fingerprints.fingerprint(docs).collect()}
+    assert len(got[1] & got[2]) / len(got[1] | got[2]) > 0.9
+    assert got[1] & got[3]
+
+
+def test_buckets_follow_each_other_across_spans(spark):
+    places = [-1, 0, 5, fingerprints.SPAN, 3 * fingerprints.SPAN + 1]
+    heads = spark.createDataFrame([(b, 10 * b) for b in places], "bucket long, head long")
+    got = {r["head"]: r["to"] for r in fingerprints._following(heads).collect()}
+    assert got == {10 * b: t for b, t in zip(places, [*places[1:], places[0]])}
 
 
 # 10 language
