@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,29 +23,34 @@ _SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SKETCH_K = 400
-#: A group of fewer documents takes the limits of its language, then those of all documents.
-MIN_GROUP = 100
+#: A group's own limits weigh n / (n + SHRINK); the rest is its language's, which lean on all documents in the same way.
+SHRINK = 20
+#: Chance deviations of a count, in its standard errors.
+ERRORS = 3
+SPREAD = 4.0
 
 
 @dataclass(frozen=True)
 class Fence:
-    """Limits at quartile -/+ max(spread * interquartile range, slack); no lower limit if ``low`` is false.
+    """How the limits of a ratio follow from the sketch of its group.
 
-    With ``over``, the upper limit of a group is at most that much above the one of the next wider level.
+    Without ``counts``: quartile -/+ SPREAD * interquartile range. With it the ratio is a share of that measure, and
+    junk only raises it: the limit is the upper quartile of the lower half mirrored at the median plus SPREAD times
+    its width, which junk in under half of a group cannot move, and a document gets ERRORS standard errors of a
+    count of that size more, where one event of chance makes ``unit`` of the counted. Long texts repeat themselves
+    more than by chance, so beyond ``long`` the error gets no smaller.
     """
-    slack: float
-    spread: float = 4.0
-    low: bool = False
-    over: float | None = None
+    counts: str | None = None
+    unit: int = 1
+    long: int = 4 * MIN_WORDS
 
 
-#: ``slack`` keeps a group in which nearly all values agree from rejecting small deviations. Of 3,243 good documents of
-#: sf0.1 that pass the base rules, the worst has 0.33 of its lines and 0.28 of its words repeated.
+#: A repeated window of three words is one event; 25 lines of eight words make 200 words.
 FENCES: Mapping[str, Fence] = {
-    "mean_word": Fence(slack=1.5, low=True),
-    "symbol_ratio": Fence(slack=0.2),
-    "dup_line_ratio": Fence(slack=0.35, spread=2.0, over=0.1),
-    "repeat_ratio": Fence(slack=0.3, spread=2.0, over=0.05),
+    "mean_word": Fence(),
+    "symbol_ratio": Fence("n_words"),
+    "dup_line_ratio": Fence("n_lines", long=25),
+    "repeat_ratio": Fence("n_words", unit=3),
 }
 
 
@@ -122,7 +128,7 @@ def sketches(measured: DataFrame, m: str, lang: str, source: str) -> DataFrame:
 
 
 def limits(by_group: DataFrame) -> DataFrame:
-    """(lang, source, limits) with the limits of the narrowest level that holds enough documents.
+    """(lang, source, limits), each group's own drawn towards those of its language and of all documents.
 
     ``by_group`` should be a table. The limits over all documents, one row of numbers, pass as literals.
     """
@@ -133,27 +139,39 @@ def limits(by_group: DataFrame) -> DataFrame:
         q = lambda k, at: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(k), F.lit(at)))
         parts = []
         for k, f in FENCES.items():
-            wide = F.greatest(f.spread * (q(k, 0.75) - q(k, 0.25)), F.lit(f.slack))
-            parts += [(q(k, 0.75) + wide).alias(f"{k}_high"),
-                      (q(k, 0.25) - wide if f.low else F.lit(None).cast("double")).alias(f"{k}_low")]
+            if f.counts:
+                half = q(k, 0.5) - q(k, 0.25)
+                low, high = F.lit(None).cast("double"), q(k, 0.5) + half + 2 * SPREAD * half
+            else:
+                wide = SPREAD * (q(k, 0.75) - q(k, 0.25))
+                low, high = q(k, 0.25) - wide, q(k, 0.75) + wide
+            parts += [high.alias(f"{k}_high"), low.alias(f"{k}_low")]
         return df.select(*keys, F.col("n").alias(f"{name}_n"), F.struct(*parts).alias(name))
 
+    def drawn(name: str, wider: Column) -> Column:
+        share = F.col(f"{name}_n") / (F.col(f"{name}_n") + SHRINK)
+        return F.struct(*[(share * F.col(f"{name}.{k}") + (1 - share) * wider[k]).alias(k)
+                          for k in (f"{r}_{side}" for r in FENCES for side in ("high", "low"))])
+
     own = fences(by_group, "own", "lang", "source")
     per_lang = fences(merged("lang"), "per_lang", F.col("lang").alias("lang2"))
     row = fences(merged(), "every").select("every.*").first()  # nulls if no document passes the base rules
     every = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in row.asDict().items()])
-    joined = own.join(per_lang, F.col("lang").eqNullSafe(F.col("lang2")))
-    def bound(name: str, wider: Column) -> Column:
-        """``name``'s limits, none of them far over those of ``wider``; a null limit stays null."""
-        return F.struct(*[F.least(F.col(f"{name}.{k}_high"), wider[f"{k}_high"] + F.lit(f.over)).alias(f"{k}_high") if side == "high" and f.over is not None
-                          else F.col(f"{name}.{k}_{side}").alias(f"{k}_{side}") for k, f in FENCES.items() for side in ("high", "low")])
+    joined = own.join(per_lang, F.col("lang").eqNullSafe(F.col("lang2"))).withColumn("per_lang", drawn("per_lang", every))
+    return joined.select("lang", "source", drawn("own", F.col("per_lang")).alias("limits"))
 
-    def enough(name: str) -> Column:
-        return F.when(F.col(f"{name}_n") >= MIN_GROUP, F.col(name))
 
-    joined = joined.withColumn("per_lang", bound("per_lang", every))
-    joined = joined.withColumn("own", bound("own", F.coalesce(enough("per_lang"), every)))
-    return joined.select("lang", "source", F.coalesce(enough("own"), enough("per_lang"), every).alias("limits"))
+def verdicts(m: str, limit: str) -> dict[str, Column]:
+    """Per ratio, whether a document's lies within the limits of its group; null without limits."""
+    out = {}
+    for k, v in _ratios(m).items():
+        f, high = FENCES[k], F.col(f"{limit}.{k}_high")
+        if f.counts:
+            each = f.unit / F.least(F.greatest(F.col(f"{m}.{f.counts}"), F.lit(1)), F.lit(f.long))
+            out[k] = v <= high + ERRORS * F.sqrt(high * each) + ERRORS * ERRORS * each
+        else:
+            out[k] = (v <= high) & (v >= F.col(f"{limit}.{k}_low"))
+    return out
 
 
 def judge(measured: DataFrame, m: str = "m", lang: str = "lang", source: str = "source",
@@ -164,11 +182,7 @@ def judge(measured: DataFrame, m: str = "m", lang: str = "lang", source: str = "
     """
     table = cut(limits(cut(sketches(measured, m, lang, source), "sketches")), "limits").select(
         F.col("lang").alias("_l_lang"), F.col("source").alias("_l_source"), F.col("limits").alias("_l"))
-    inside = F.lit(True)
-    for k, v in _ratios(m).items():
-        inside = inside & (v <= F.col(f"_l.{k}_high"))
-        if FENCES[k].low:
-            inside = inside & (v >= F.col(f"_l.{k}_low"))
+    inside = reduce(lambda a, b: a & b, verdicts(m, "_l").values())
     joined = measured.join(table, measured[lang].eqNullSafe(F.col("_l_lang")) & measured[source].eqNullSafe(F.col("_l_source")), "left")
     return joined.withColumns({failed: base_failed(m), kept: ~base_failed(m) & F.coalesce(inside, F.lit(False))}).drop(
         "_l", "_l_lang", "_l_source")

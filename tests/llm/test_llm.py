@@ -441,11 +441,33 @@ def test_limits_are_the_sketches_quantiles(spark):
     rows = [(i, " ".join(["word" * (1 + i % 3)] * 0 + [f"{'w' * (3 + i % 4)}{j}" for j in range(60 + i % 7)]), "en", f"s{i % 2}", 0, "", "") for i in range(300)]
     m = quality_rules.measure_documents(spark.createDataFrame(rows, DOCS))
     got = {r["source"]: r["limits"] for r in quality_rules.limits(quality_rules.cut(quality_rules.sketches(m, "m", "lang", "source"))).collect()}
+    mean = collections.defaultdict(list)
+    for r in m.collect():
+        for key in (r["source"], "all"):
+            mean[key].append(r["m"]["word_chars"] / r["m"]["n_words"])
+
+    def own(key, up):
+        low, high = np.quantile(mean[key], [0.25, 0.75], method="inverted_cdf")
+        return high + quality_rules.SPREAD * (high - low) if up else low - quality_rules.SPREAD * (high - low)
+
     for s in ("s0", "s1"):
-        mean = sorted(r["m"]["word_chars"] / r["m"]["n_words"] for r in m.where(F.col("source") == s).collect())
-        low, high = np.quantile(mean, [0.25, 0.75])
-        f = quality_rules.FENCES["mean_word"]
-        assert abs(got[s]["mean_word_high"] - (high + max(f.spread * (high - low), f.slack))) < 0.2
+        w = 150 / (150 + quality_rules.SHRINK)  # the only language is all documents, so it leans on itself
+        for up, name in ((True, "mean_word_high"), (False, "mean_word_low")):
+            assert abs(got[s][name] - (w * own(s, up) + (1 - w) * own("all", up))) < 0.2
+
+
+def test_limits_follow_their_group_and_lean_on_the_language(spark):
+    """Where a source uses many symbols its limit is high; a source of two documents takes nearly its language's."""
+    rng = random.Random(12)
+    def doc(share):
+        return " ".join(("$" if rng.random() < share else "") + f"word{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(i, doc(0.0), "en", "plain", 0, "", "") for i in range(400)] + [
+        (1000 + i, doc(rng.uniform(0.2, 0.4)), "en", "code", 0, "", "") for i in range(400)] + [
+        (2000 + i, doc(0.3), "en", "few", 0, "", "") for i in range(2)] + [(3000 + i, doc(0.3), "en", "plain", 0, "", "") for i in range(100)]
+    judged = quality_rules.judge(quality_rules.measure_documents(spark.createDataFrame(rows, DOCS))).select("doc_id", "source", "kept").collect()
+    share = lambda keep: np.mean([r["kept"] for r in judged if keep(r)])
+    assert share(lambda r: r["source"] == "code") == 1 and share(lambda r: r["doc_id"] < 400) == 1
+    assert share(lambda r: r["doc_id"] >= 3000) == 0  # the same share of symbols in a source without
 
 
 def test_repeating_documents_are_kept_out(spark):
