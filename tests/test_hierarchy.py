@@ -134,6 +134,35 @@ def test_spanning_forest_equals_kruskal(spark):
     assert hi.spanning_forest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("every", [7, 1 << 20])
+def test_thinned_edges_grow_with_nodes_and_hold_the_forest(spark, every):
+    """Every pair of 80 nodes, with ties, loops, copies and nulls, over three tasks."""
+    from caseweave.operators.clusters import thinned
+    rng = random.Random(5)
+    rows = [(a, b, rng.choice([0.1, 0.2, 0.3]), "kept") for a in range(80) for b in range(80)]
+    odd = [(None, 3, 0.1, "kept"), (3, 4, None, "kept"), (3, 4, None, "kept")]
+    df = spark.createDataFrame(rows + odd, "a long, b long, d double, more string").repartition(3)
+    got = thinned(df, order="d", every=every).cache()
+    assert got.schema == df.schema and got.where("a IS NULL").count() == 1 and got.where("d IS NULL").count() == 2
+    got = got.where("a IS NOT NULL AND d IS NOT NULL")
+    forest = lambda e: {tuple(r) for r in hi.spanning_forest(e.select("a", "b", "d")).collect()}
+    assert forest(got) == forest(df.where("a IS NOT NULL AND d IS NOT NULL"))
+    if every > 7:
+        assert got.count() <= 3 * 79
+    nearest = {n: min((d, min(a, b), max(a, b)) for a, b, d, _ in rows if n in (a, b) and a != b) for n in range(80)}
+    held = {(r["d"], min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got.collect()}
+    assert set(nearest.values()) <= held
+
+
+def test_thinned_text_ids_and_no_order(spark):
+    from caseweave.operators.clusters import components, thinned
+    rng = random.Random(6)
+    df = spark.createDataFrame([(f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for _ in range(400)] + [("x", "y")], "a string, b string").repartition(2)
+    found = lambda e: {tuple(r) for r in components(e).collect()}
+    assert found(thinned(df)) == found(df) and thinned(df).count() <= 2 * 51
+    assert thinned(df.where("false")).count() == 0
+
+
 def test_series_of_the_given_tables_equal_recursion(spark):
     """All open cases of the smallest tables, block by block."""
     from bindings import linking

@@ -181,6 +181,20 @@ def test_pairs_equal_brute_force(spark, threshold):
     assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
 
 
+@pytest.mark.parametrize("threshold", [None, 0.65])
+def test_pairs_that_carry_vectors_need_no_join_on_pairs(spark, threshold):
+    """Same rows as with fetched vectors, also for repeated keys and null vectors."""
+    rows, df = _cases(spark, 120)
+    odd = [(*rows[3][:9], [1.0, 0.0, 0.0, 0.5]), rows[4], (500, *rows[5][1:9], None)]  # a key with two vectors, a row twice, no vector
+    df = df.unionByName(spark.createDataFrame(odd, df.schema))
+    plain, carried = (lk.score_pairs(lk.candidate_pairs(df, threshold=threshold or 0.0, vectors=v), df, threshold=threshold) for v in (False, True))
+    listed = lambda x: sorted(map(repr, x.withColumn("score", F.round("score", 9)).withColumn("cosine", F.round("cosine", 9)).collect()))
+    assert plain.columns == carried.columns and listed(plain) == listed(carried)
+    joins = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    patterns = len(lk.mismatch_patterns(lk.Rules(), lk.Fields().features, threshold or 0.0))
+    assert joins(carried) == patterns and joins(plain) > patterns
+
+
 def test_patterns_are_disjoint_and_whole():
     features = ("vehicle", "target", "tod", "dow")
     assert lk.mismatch_patterns(lk.Rules(), features, 0.0) == [lk.Pattern((), (), fx.LINK_MAX_KM)]
