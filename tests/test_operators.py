@@ -8,6 +8,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,30 @@ def test_pivot_search_equals_grid(spark, pivots):
     assert found == grid and len(grid) == 4 * 193
 
 
+def test_best_of_a_chunk_equals_a_full_sort_in_little_memory():
+    """Ties, copies, missing numbers and the record itself; a full chunk needs little beside its similarities."""
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    m = np.round(rng.normal(size=(300, 2)), 1)
+    m[7] = np.nan
+    df = pd.DataFrame({"id": rng.permutation(300), "e": list(m)})
+    got = nb._best_of("id", "e", 6, True, 0.2)(df, df)
+    right = df.sort_values("id")
+    unit = lambda x: (lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9))(np.vstack(list(x)))
+    sims = unit(df["e"]) @ unit(right["e"]).T
+    want = []
+    for i, q in enumerate(df["id"]):
+        best = [(-s, c) for s, c in zip(sims[i], right["id"]) if c != q and s >= 0.2]
+        want += [(q, c, -s) for s, c in sorted(best)[:6]]
+    assert list(got.itertuples(index=False, name=None)) == want
+    big = pd.DataFrame({"id": np.arange(2048), "e": list(rng.normal(size=(2048, 4)))})
+    tracemalloc.start()
+    nb._best_of("id", "e", 5, True)(big, big)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.8 * 2048 * 2048 * 8
+
+
 def test_pivot_search_with_a_least_similarity(spark):
     rng = np.random.default_rng(9)
     vecs = rng.normal(size=(150, 4))
