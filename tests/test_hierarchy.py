@@ -163,6 +163,23 @@ def test_thinned_text_ids_and_no_order(spark):
     assert thinned(df.where("false")).count() == 0
 
 
+def test_strongest_pairs_inside_a_cluster_give_its_confidence(spark):
+    """Records without a vector have pairs without a score, which bind a cluster but are nobody's strongest."""
+    import datetime as dt
+
+    from bindings import linking
+    from caseweave.operators import linkage as lk
+    rng = random.Random(7)
+    rows = [(i, "xy"[i % 2], dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(90)), 12 + rng.random() / 2, 75.0, rng.choice(["car", "auto"]), "cash", "night", 1,
+             [rng.random(), rng.random()] if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "case_id long, crime_sub_head string, registered date, latitude double, longitude double, vehicle string, target string, "
+                                     "tod string, dow int, embedding array<double>")
+    members = spark.createDataFrame([(i, i % 4) for i in range(50)], "case_id long, component long")
+    listed = lambda pairs: sorted((r[0], r[1], round(r[2], 9)) for r in lk.confidence(members, pairs).collect())
+    want = listed(lk.score_pairs(lk.candidate_pairs(df), df))
+    assert listed(linking._strongest_inside(df, members)) == want and len(want) == 4
+
+
 def test_series_of_the_given_tables_equal_recursion(spark):
     """All open cases of the smallest tables, block by block."""
     from bindings import linking
