@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.functions import fixed_values as fx
+from caseweave.functions import fixed_values as fx, geo
 from caseweave.operators import (clusters, detect, evaluate as ev, forecast as fc, govern, linkage as lk, neighbours as nb, ranking as rk,
                                  score, spatial, sqlgate, tagging, timeseries as ts)
 from caseweave.plans import lineage, views
@@ -428,3 +428,20 @@ def test_evidence_ids_are_whole_or_the_smallest(spark):
     df = spark.createDataFrame([(9,), (3,), (None,), (7,)], "case_id int")
     assert sorted(r[0] for r in tagging.evidence_ids(df).collect()) == [3, 7, 9]
     assert [r[0] for r in tagging.evidence_ids(df, cap=2).collect()] == [3, 7]
+
+
+@pytest.mark.parametrize("km, wide", [(120.0, 2.0), (0.001, 100.0), (20.0, 3.0), (900.0, 2.0)])
+def test_wide_cells_hold_every_partner_in_few_copies(spark, km, wide):
+    rnd = random.Random(7)
+    near = km / 111.0
+    points = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(150)] + [(90.0, 0.0), (-90.0, 5.0), (89.99, 170.0), (0.0, 180.0), (0.0, -180.0)]
+    points += [(max(-90.0, min(90.0, a + rnd.uniform(-near, near))), o + rnd.uniform(-near, near)) for a, o in points for _ in range(3)]
+    df = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(points)], "id int, lat double, lon double")
+    rows = df.select("id", geo.tile_key("lat", "lon", km, wide).alias("own"), geo.tile_probe_keys("lat", "lon", km, wide).alias("probe")).collect()
+    for x in rows:
+        assert len(set(x["probe"])) == len(x["probe"])
+        for y in rows:
+            if _km(*points[x["id"]], *points[y["id"]]) <= km:
+                assert y["own"] in x["probe"]
+    flat = [len(r["probe"]) for r in rows if abs(points[r["id"]][0]) < 60]
+    assert sum(flat) / len(flat) < 1.2 * (1 + 2 / wide) ** 2 + 0.1 and max(flat) <= 6  # nine cells before
