@@ -120,3 +120,57 @@ def test_louvain_separates_cliques_and_does_not_lose_modularity(spark):
     assert sorted(map(sorted, groups.values())) == [list(range(b, b + 6)) for b in (0, 10, 20)]
     single = comm.select("id", F.col("id").alias("community"))
     assert cm.modularity(df, comm) > cm.modularity(df, single)
+
+
+def _dependencies(pairs, sources):
+    """Dependencies by Brandes' algorithm in plain Python."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in sources:
+        hops, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in near[v]:
+                if w not in hops:
+                    hops[w], paths[w] = hops[v] + 1, 0.0
+                    queue.append(w)
+                if hops[w] == hops[v] + 1:
+                    paths[w] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if hops[v] == hops[w] - 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    top = max(total.values())
+    return {v: x / top for v, x in total.items()}
+
+
+def test_betweenness_sends_only_the_edges_of_the_smaller_side(spark, monkeypatch):
+    """A dense part reached in two hops, with a tail and a part of its own that some sources never meet."""
+    rnd = random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(700)} | {(59, 60), (60, 61), (61, 62), (70, 71), (71, 72)}
+    edges = spark.createDataFrame(sorted(pairs), "a int, b int")
+    sources = [1, 5, 30, 62, 71]
+    calls, plain = [], gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df, label="stage": calls.append(label) or plain(df, label))
+    got = {r["id"]: r["centrality"] for r in gr.betweenness(edges, sources=spark.createDataFrame([(i,) for i in sources], "id int")).collect()}
+    want = _dependencies(pairs, sources)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    calls.clear()
+    full = [(a, b) for a in range(12) for b in range(a)]
+    assert set(gr.betweenness(spark.createDataFrame(full, "a int, b int"), k=3).select("centrality").toPandas()["centrality"]) == {0.0}
+    assert calls.count("level") == 2 and calls.count("delta") == 0  # all nodes are met after one hop; before: a third level and a delta of the sources
+
+
+def test_ego_reads_the_edge_table_without_laying_it_out(spark, monkeypatch):
+    def refuse(edges):
+        raise AssertionError("all edges would be shuffled and stored for a few hops")
+    monkeypatch.setattr(gr, "adjacency", refuse)
+    g = _hub_graph(spark)
+    twice = gr.Graph(g.nodes, g.edges.unionByName(g.edges))
+    assert {r["id"] for r in gr.ego(twice, "P-2", 1).nodes.collect()} == {"P-1", "P-2", "P-3", "C-3"}
