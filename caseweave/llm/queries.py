@@ -67,7 +67,9 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op6_subwords(spark: SparkSession, folder: str) -> DataFrame:
-    return subwords.sample(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    drawn = subwords.sample(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return drawn.select("doc_id", "sample", (F.octet_length("pieces") / 4).cast("long").alias("n_pieces"), F.crc32("pieces").alias("ids_crc32"),
+                        "log_probability", "perturbed", "log_inclusion", "round_trip")
 
 
 @_query

@@ -20,7 +20,6 @@ a space; rows with equal keys and texts give equal samples; an empty table gives
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,8 +40,7 @@ _SLOT_BITS, _SLOT_BASE = 19, np.uint64(0x9E3779B97F4A7C15)
 #: A set whose log mass lies this far below a Gumbel value cannot exceed it in double precision.
 _REACH = 40.0
 
-SCHEMA = ("doc_id long, sample int, n_pieces long, ids_crc32 long, log_probability double, perturbed double, log_inclusion double, "
-          "round_trip boolean")
+SCHEMA = "doc_id long, sample int, pieces binary, log_probability double, perturbed double, log_inclusion double, round_trip boolean"
 
 
 class Vocabulary:
@@ -458,20 +456,21 @@ def log_inclusion(log_p: float, threshold: float) -> float:
 
 
 def sample(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", k: int = SAMPLES) -> DataFrame:
-    """A row per sample: piece count, CRC-32 of the ids (32 bits each, little-endian), scores, and whether decoding gives the text."""
+    """A row per sample: its piece ids (``pieces``: 32 bits each, little-endian, as training files hold them), scores,
+    and whether decoding gives the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(Vocabulary(model))
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
             keys = batch.column(2).to_numpy().astype(np.int64).view(np.uint64)
             ids_in = batch.column(0).to_pylist()
             for a, b, buf, at in chunks(batch.column(1)):
-                rows = [(ids_in[a + r], 0, 0, 0, 0.0, 0.0, 0.0, True) for r in np.flatnonzero(np.diff(at) == 0)]
+                rows = [(ids_in[a + r], 0, b"", 0.0, 0.0, 0.0, True) for r in np.flatnonzero(np.diff(at) == 0)]
                 own, places = with_leading_space(buf, at)
                 for r, found, rest, ids, same in segment(own, places, keys[a:b], known, k):
                     for j, ((_, log_p, top), i) in enumerate(zip(found, ids)):
-                        rows.append((ids_in[a + r], j, len(i), zlib.crc32(i.astype("<u4").tobytes()), log_p, top,
+                        rows.append((ids_in[a + r], j, i.astype("<u4").tobytes(), log_p, top,
                                      log_inclusion(log_p, rest), same[j]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 

@@ -410,6 +410,19 @@ def test_samples_decode_to_the_text(spark):
         map(str, subwords.sample(odd_documents(spark).repartition(5), PIECES).collect()))
 
 
+def test_samples_hold_their_pieces(spark):
+    """The operator gives the segmentations themselves, not digests of them."""
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.createDataFrame([(1, "cats and dogs"), (2, ""), (3, None), (4, "a  b\u00e9\U0001f600")], "doc_id long, text string")
+    rows = subwords.sample(docs, PIECES, k=3).collect()
+    drawn = collections.defaultdict(list)
+    for r in rows:
+        drawn[r["doc_id"]].append([model.id_to_piece(i) for i in np.frombuffer(r["pieces"], "<u4").tolist()])
+    assert drawn[2] == drawn[3] == [[]] and len(drawn[1]) == 3 and len(set(map(tuple, drawn[1]))) == 3
+    assert all("".join(p).replace("\u2581", " ") == " cats and dogs" for p in drawn[1])
+
+
 # 7 quality rules
 
 def base_counts(t):
