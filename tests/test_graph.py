@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import random
 from collections import deque
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave.operators import communities as cm, graph as gr
+from caseweave.plans import views
 
 
 def _hub_graph(spark):

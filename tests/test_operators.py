@@ -10,9 +10,9 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from caseweave.functions import fixed_values as fx, geo
+from caseweave.functions import fixed_values as fx, geo, text as tx
 from caseweave.operators import (clusters, detect, evaluate as ev, forecast as fc, govern, linkage as lk, neighbours as nb, ranking as rk,
                                  score, spatial, sqlgate, tagging, timeseries as ts)
 from caseweave.plans import lineage, views
@@ -445,3 +445,8 @@ def test_wide_cells_hold_every_partner_in_few_copies(spark, km, wide):
                 assert y["own"] in x["probe"]
     flat = [len(r["probe"]) for r in rows if abs(points[r["id"]][0]) < 60]
     assert sum(flat) / len(flat) < 1.2 * (1 + 2 / wide) ** 2 + 0.1 and max(flat) <= 6  # nine cells before
+
+
+def test_shuffle_files_of_finished_steps_are_not_kept(spark):
+    from caseweave.session import prepare
+    assert prepare(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
