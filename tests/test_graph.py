@@ -176,3 +176,11 @@ def test_ego_reads_the_edge_table_without_laying_it_out(spark, monkeypatch):
     g = _hub_graph(spark)
     twice = gr.Graph(g.nodes, g.edges.unionByName(g.edges))
     assert {r["id"] for r in gr.ego(twice, "P-2", 1).nodes.collect()} == {"P-1", "P-2", "P-3", "C-3"}
+
+
+def test_louvain_leaves_one_table(spark):
+    edges = spark.createDataFrame([(b + i, b + j) for b in (0, 10, 20) for i in range(6) for j in range(i)] + [(0, 10), (10, 20)], "a int, b int")
+    tables = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir").replace("file:", "") + "/caseweave-louvain-*"))
+    before = tables()
+    cm.louvain(edges)
+    assert len(tables() - before) == 1  # the membership
