@@ -450,3 +450,22 @@ def test_wide_cells_hold_every_partner_in_few_copies(spark, km, wide):
 def test_shuffle_files_of_finished_steps_are_not_kept(spark):
     from caseweave.session import prepare
     assert prepare(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_visits_are_handed_on_in_bounded_parts():
+    """Vectors that nothing can be ruled out for visit every cell; their copies are not held at once."""
+    class Best:
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("e", T.ArrayType(T.FloatType()))])
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    rng = np.random.default_rng(1)
+    at = rng.normal(size=(300, 8))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    rows = pd.DataFrame({"id": range(256), "e": list(rng.normal(size=(256, 8))), "_cell": 0, "_floor": -2.0})
+    parts = list(nb.cell_visits(Best(), "id", "e", at, dict.fromkeys(range(300), (0.0, np.pi)))(iter([rows])))
+    assert sum(map(len, parts)) == 256 * 299 and max(map(len, parts)) <= 8192
