@@ -469,3 +469,17 @@ def test_visits_are_handed_on_in_bounded_parts():
     rows = pd.DataFrame({"id": range(256), "e": list(rng.normal(size=(256, 8))), "_cell": 0, "_floor": -2.0})
     parts = list(nb.cell_visits(Best(), "id", "e", at, dict.fromkeys(range(300), (0.0, np.pi)))(iter([rows])))
     assert sum(map(len, parts)) == 256 * 299 and max(map(len, parts)) <= 8192
+
+
+def test_numbered_names_are_looked_up_by_runs_that_tell_them_apart(spark):
+    low = spark.createDataFrame([(i, f"seen with supplier#{100000 + i * 2713:09d}.") for i in range(300)], "id int, _text string")
+    known = spark.createDataFrame([(i, f"supplier#{100000 + i * 2713:09d}") for i in range(300)], "p int, _name string")
+    assert tagging._candidates(low, known, "id", "p").count() < 400
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 8, 9])
+def test_names_around_the_run_lengths_are_found_by_code_points(spark, size):
+    name = "𝒳é李bcdefgh"[:size]
+    texts = spark.createDataFrame([(1, f"..{name}.."), (2, name[:-1]), (3, name.upper()), (4, None)], "id int, t string")
+    got = tagging.names_in_text(texts, "id", "t", spark.createDataFrame([("p", name)], "p string, n string"), "p", "n")
+    assert sorted(map(tuple, got.collect())) == [(1, "p"), (3, "p")]
