@@ -184,3 +184,12 @@ def test_louvain_leaves_one_table(spark):
     before = tables()
     cm.louvain(edges)
     assert len(tables() - before) == 1  # the membership
+
+
+def test_co_accused_pairs_come_once_whichever_record_is_first(spark):
+    rows = spark.createDataFrame([(1, "p", 1), (1, "q", 2), (1, "p", 3), (2, "q", 1), (2, "p", 2), (3, "p", 1), (3, "q", 1), (4, "p", 1), (4, "p", 2), (None, "p", 1)],
+                                 "case int, who string, ord int")
+    pairs = views.co_occurrence(rows, "case", "who", "ord", directed=False)
+    assert sorted(map(tuple, pairs.collect())) == [("p", "q", 1), ("p", "q", 2)]
+    both = views.co_occurrence(rows, "case", "who", "ord")
+    assert gr.co_accused_edges(pairs).collect() == gr.co_accused_edges(both).collect()
