@@ -483,3 +483,17 @@ def test_names_around_the_run_lengths_are_found_by_code_points(spark, size):
     texts = spark.createDataFrame([(1, f"..{name}.."), (2, name[:-1]), (3, name.upper()), (4, None)], "id int, t string")
     got = tagging.names_in_text(texts, "id", "t", spark.createDataFrame([("p", name)], "p string, n string"), "p", "n")
     assert sorted(map(tuple, got.collect())) == [(1, "p"), (3, "p")]
+
+
+def test_a_text_is_lowered_once_for_all_cues(spark):
+    df = spark.createDataFrame([("A KNIFE",), (None,)], "t string").select(tx.cue_label("t", {"x": ["gun", "rifle"], "y": ["knife"]}).alias("l"))
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert [r["l"] for r in df.collect()] == ["y", None]
+
+
+def test_grams_of_any_length_are_hashed_once_each(spark):
+    text, n, dim = "abracadabra " * 50, 4, 8
+    want = collections.Counter(int(hashlib.md5(text[i:i + n].encode()).hexdigest()[:8], 16) % dim for i in range(len(text) - n + 1))
+    df = spark.createDataFrame([(text.upper(),)], "t string").select(lk.gram_counts("t", dim, n).alias("g"))
+    assert {r["bucket"]: r["count"] for r in df.first()["g"]} == dict(want)
+    assert "Arrow" in df._jdf.queryExecution().executedPlan().toString()
