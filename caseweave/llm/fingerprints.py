@@ -31,34 +31,33 @@ _POSITION_BITS = 31
 _LAST = (1 << _POSITION_BITS) - 1
 
 
-def _doubled(values: Column, width: int, combine) -> Column:
-    """Combination of every ``width`` (a power of two) neighbours, by combining halves."""
-    def with_shifted(step: int):
-        return lambda v: F.zip_with(F.slice(v, F.lit(1), F.greatest(F.size(v) - step, F.lit(0))),
-                                    F.slice(v, F.lit(step + 1), F.greatest(F.size(v) - step, F.lit(0))), combine)
+def _minima(values: Column, width: int) -> Column:
+    """Minimum of every ``width`` (a power of two) neighbours; fewer values than that have one.
+
+    Each step combines the values with themselves moved left. The shorter array is filled up
+    with nulls, which are not smaller, so the last windows are cut short and go at the end.
+    """
+    def with_moved(by: int):
+        return lambda v: F.zip_with(v, F.slice(v, F.lit(by + 1), F.size(v)), lambda a, b: F.when(b < a, b).otherwise(a))
 
     step = 1
     while step < width:
-        values = let(values, with_shifted(step))
+        values = let(values, with_moved(step))
         step *= 2
-    return values
+    return let(values, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (width - 1), F.lit(1))))
 
 
 def prints(text: Column) -> Column:
     """array<bigint> of 32 bits of hash above the code point's position counted down from 2^31 - 1."""
     def packed(points: Column) -> Column:
-        n = F.octet_length(points) / _WIDTH
-        places = F.when(n == 0, F.array().cast("array<int>")).otherwise(
-            F.sequence(F.lit(0), F.greatest(n.cast("int") - GRAM, F.lit(0))))
-        return F.transform(places, lambda i: F.shiftleft(
-            F.xxhash64(F.substring(points, i * _WIDTH + 1, F.lit(GRAM * _WIDTH))).bitwiseAND(F.lit(0xFFFFFFFF)),
+        n = F.octet_length(points)
+        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
+            F.sequence(F.lit(1), F.greatest(n - (GRAM * _WIDTH - 1), F.lit(1)), F.lit(_WIDTH)))
+        return F.transform(starts, lambda at, i: F.shiftleft(
+            F.xxhash64(F.substring(points, at, F.lit(GRAM * _WIDTH))).bitwiseAND(F.lit(0xFFFFFFFF)),
             _POSITION_BITS).bitwiseOR(F.lit(_LAST) - i))
 
-    def chosen(values: Column) -> Column:
-        return F.when(F.size(values) == 0, values).when(F.size(values) < WINDOW, F.array(F.array_min(values))).otherwise(
-            F.array_distinct(_doubled(values, WINDOW, lambda a, b: F.least(a, b))))
-
-    return let(let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), packed), chosen)
+    return let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda points: F.array_distinct(_minima(packed(points), WINDOW)))
 
 
 def hash_of(p: Column) -> Column:

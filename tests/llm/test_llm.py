@@ -659,6 +659,17 @@ def test_windows_keep_their_rightmost_minimum(spark):
     assert [p for _, p in got[1]] == list(range(31, 85))  # of equal hashes the rightmost
 
 
+def test_minima_take_one_moved_copy_a_step(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.randrange(50) for _ in range(n)]) for i, n in enumerate([*range(10), 31, 32, 33, 40])]
+    values = spark.createDataFrame(rows, "i long, v array<bigint>")
+    for width in (1, 2, 8, 32):
+        got = {r["i"]: r["m"] for r in values.select("i", fingerprints._minima(F.col("v"), width).alias("m")).collect()}
+        assert got == {i: [min(v[j:j + width]) for j in range(max(len(v) - width, 0) + 1)] if v else [] for i, v in rows}
+    plan = str(fingerprints.prints(F.col("text")))
+    assert plan.count("slice(") <= fingerprints.WINDOW.bit_length()
+
+
 def test_texts_without_spaces_keep_their_prints_after_an_insertion(spark):
     rng = random.Random(10)
     text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1200))
