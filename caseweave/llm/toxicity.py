@@ -56,9 +56,11 @@ _CACHE = 400_000
 #: Subsequences looked up at once, so that their rows stay in the processor's cache.
 _BLOCK = 8_192
 _WORDS = 16_384
-_SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
+_PLACE_BITS = 10
+# "[.!?]+(?:\s+|$)|\n+" with the first character in front, by which the search passes over others fast
+_SENTENCE = re.compile(r"[.!?\n](?:(?<=\n)\n*|(?<!\n)[.!?]*(?:\s+|$))")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
-_INNER = re.compile(r"\w[^\w\s]+\w")
+_INNER = re.compile(r"[^\w\s](?<=\w[^\w\s])[^\w\s]*\w")  # a mark first, so that the search passes over letters fast
 _MARK = re.compile(r"\W")
 _EDGE = "\"'“”„«»()[]{}<>,;:.!?¡¿-–—*_#|"
 
@@ -90,7 +92,18 @@ def _code(ch: str) -> int:
     return 27 + ord(ch) % 12 if ch.isalpha() else 39
 
 
-_codes: dict[str, int] = {}
+_UNSEEN = 255
+_codes = np.full(0x110000, _UNSEEN, np.uint8)  # of each code point, once met
+
+
+def _coded(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _codes[points]
+    if (out == _UNSEEN).any():
+        for point in np.unique(points[out == _UNSEEN]).tolist():
+            _codes[point] = _code(chr(point))
+        out = _codes[points]
+    return out
 
 
 def _pieces(word: str) -> list[str]:
@@ -102,8 +115,12 @@ def _pieces(word: str) -> list[str]:
 
 def subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
     """(index triples, weights) of a word of ``length``, its start marks included; spans beyond SPAN weigh nearly nothing and are left out."""
-    at = np.array([c for c in itertools.combinations(range(length), _ORDER) if c[-1] - c[0] < SPAN], np.int64).reshape(-1, _ORDER)
-    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+    weight: dict[tuple[int, ...], float] = {}
+    for c in itertools.combinations(range(length), _ORDER):
+        if c[-1] - c[0] < SPAN:
+            same = c if c[0] or c[1] == 1 else (1, *c[1:])  # both start marks with the same two characters
+            weight[same] = weight.get(same, 0.0) + DECAY ** (c[-1] - c[0] + 1.0)
+    return np.array(list(weight), np.int64).reshape(-1, _ORDER), np.array(list(weight.values()))
 
 
 _PLANS = {n: subsequences(n) for n in range(LONGEST + len(_START) + 1)}
@@ -118,10 +135,7 @@ def word_features(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray
     for n, which in by.items():
         at, weight = _PLANS[n]
         if len(at):
-            text = "".join([words[i] for i in which])
-            for ch in set(text) - _codes.keys():
-                _codes[ch] = _code(ch)
-            code = np.fromiter(map(_codes.__getitem__, text), np.int64, len(text)).reshape(-1, n)
+            code = _coded("".join([words[i] for i in which])).astype(np.int32).reshape(-1, n)
             yield np.array(which), (code[:, at[:, 0]] * _CODES + code[:, at[:, 1]]) * _CODES + code[:, at[:, 2]], weight
 
 
@@ -134,32 +148,38 @@ def dense(words: Sequence[str]) -> np.ndarray:
     return out
 
 
-def _norms(bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Lengths of the words' vectors; equal subsequences at several places add up."""
-    out = np.full(len(bucket), (weight ** 2).sum())
-    s = np.sort(bucket, 1)
-    rep = np.flatnonzero((s[:, 1:] == s[:, :-1]).any(1))
-    if len(rep):
-        order = np.argsort(bucket[rep], 1)
-        b = np.take_along_axis(bucket[rep], order, 1)
-        new = np.ones(b.shape, bool)
-        new[:, 1:] = b[:, 1:] != b[:, :-1]
-        sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(new))
-        count = new.sum(1)
-        out[rep] = np.add.reduceat(sums ** 2, np.cumsum(count) - count)
-    return np.sqrt(out)
+def _merged(bucket: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, bucket, weight) of the words' distinct subsequences; equal ones at several places add up."""
+    key = bucket << _PLACE_BITS | np.arange(bucket.shape[1], dtype=np.int32)
+    key.sort(1)
+    b = key >> _PLACE_BITS
+    new = np.ones(b.shape, bool)
+    np.not_equal(b[:, 1:], b[:, :-1], out=new[:, 1:])
+    first = np.flatnonzero(new)
+    return first // b.shape[1], b.ravel()[first], np.add.reduceat(weight[key & (1 << _PLACE_BITS) - 1].ravel(), first)
 
 
 def kernel(words: Sequence[str], table: Landmarks) -> np.ndarray:
     """word x landmark."""
     out = np.zeros((len(words), table.rows.shape[1]), np.float32)
-    for which, bucket, weight in word_features(words):
-        step = max(1, _BLOCK // bucket.shape[1])
-        w32 = weight.astype(np.float32)
+    for which, buckets, weights in word_features(words):
+        step = max(1, _BLOCK // buckets.shape[1])
+        w32 = weights.astype(np.float32)
         for i in range(0, len(which), step):
-            b = bucket[i:i + step]
-            out[which[i:i + step]] = np.einsum("nck,c->nk", table.rows[table.row_of[b]], w32) / _norms(b, weight)[:, None]
-    return np.power(out, 4, out=out)
+            n = len(buckets[i:i + step])
+            word, bucket, weight = _merged(buckets[i:i + step], w32)
+            norm = np.sqrt(np.bincount(word, weight * weight, n))
+            row = table.row_of[bucket]
+            met = np.flatnonzero(row)  # subsequences that some landmark has; those of a word side by side, filled up with row 0
+            word, row, weight = word[met], row[met], weight[met]
+            count = np.bincount(word, minlength=n)
+            place = np.arange(len(word)) - (np.cumsum(count) - count)[word]
+            rows = np.zeros((n, int(count.max())), np.int32)
+            rows[word, place] = row
+            given = np.zeros(rows.shape, np.float32)
+            given[word, place] = weight
+            out[which[i:i + step]] = np.matmul(given[:, None, :], table.rows[rows])[:, 0] / norm[:, None]
+    return np.square(np.square(out, out=out), out=out)
 
 
 @dataclass
@@ -187,22 +207,25 @@ class Machine:
 
     def word_values(self, words: Sequence[str]) -> np.ndarray:
         parts = [_pieces(w) for w in words]
-        flat = [p for x in parts for p in x]
-        value = kernel(flat, self.table) @ self.beta
-        return np.bincount(np.repeat(np.arange(len(words)), [len(x) for x in parts]), value, len(words))
+        number = {p: i for i, p in enumerate(dict.fromkeys(p for x in parts for p in x))}  # words differ in their edges only, often
+        value = (kernel(list(number), self.table) @ self.beta).astype(float)
+        flat = np.fromiter((number[p] for x in parts for p in x), np.int64)
+        return np.bincount(np.repeat(np.arange(len(words)), [len(x) for x in parts]), value[flat], len(words))
 
     def decide(self, docs: Sequence[str | None], cache: dict[str, float]) -> np.ndarray:
         split = [sentences(t or "") for t in docs]
         flat = [w for d in split for s in d for w in s]
         if len(cache) > _CACHE:
             cache.clear()
-        new = [w for w in dict.fromkeys(flat) if w not in cache]
+        found = list(map(cache.get, flat))
+        new = list(dict.fromkeys(w for w, v in zip(flat, found) if v is None)) if None in found else []
         if new:
             cache.update(zip(new, self.word_values(new).tolist()))
+            found = [cache[w] if v is None else v for w, v in zip(flat, found)]
         out = np.full(len(docs), self.bias)
         lengths = [len(s) for d in split for s in d]
         if lengths:
-            value = np.fromiter(map(cache.__getitem__, flat), float, len(flat))
+            value = np.array(found)
             first = np.cumsum(lengths) - lengths
             per = np.add.reduceat(value, first) + self.bias
             n = np.array([len(d) for d in split])

@@ -256,6 +256,27 @@ def test_level_of_telling_words_is_above_chance():
     assert toxicity.surest_level(np.full(3, -np.inf), mirror) == np.inf
 
 
+def test_words_that_differ_in_their_edges_meet_the_landmarks_once(monkeypatch):
+    met = []
+    kernel = toxicity.kernel
+    monkeypatch.setattr(toxicity, "kernel", lambda words, table: met.extend(words) or kernel(words, table))
+    table = toxicity.Landmarks.of(toxicity.dense(["idiot", "banana"]))
+    model = toxicity.Machine(table, np.array([1.0, -0.5], np.float32), 0.0, 1.0, 0.0, ["idiot", "banana"])
+    long = "xyz" * 12
+    values = model.word_values(["idiot,", "idiot", "(idiot)", long, "banana", "\U0001d11e", ""])
+    assert sorted(met) == sorted({"idiot", "banana", "\U0001d11e", "", *toxicity._pieces(long)})
+    assert values[0] == values[1] == values[2] and abs(values[4] + 0.5) < 0.1 and values[6] == 0
+
+
+def test_sentences_and_marks_are_found_as_described():
+    rng = random.Random(3)
+    ends, inner = re.compile(r"[.!?]+(?:\s+|$)|\n+"), re.compile(r"\w[^\w\s]+\w")
+    for _ in range(3000):
+        t = "".join(rng.choice("ab_é.!?-'* \n\t") for _ in range(rng.randint(0, 14)))
+        assert toxicity._SENTENCE.split(t) == ends.split(t)
+        assert bool(toxicity._INNER.search(t)) == bool(inner.search(t))
+
+
 def test_subsequence_kernel_matches_its_definition():
     def features(word):
         w, out = toxicity._START + word, collections.Counter()
