@@ -102,6 +102,29 @@ def test_betweenness_equals_brute_force(spark):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(30))
 
 
+def test_betweenness_adds_up_parts_of_the_sources(spark):
+    """Sources come a few at a time; only the sums of the last turn stay as a table."""
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample(range(20), 2))) for _ in range(30)} | {(i, i + 1) for i in range(19)}
+    want = _brandes(edges, 20)
+    tables = lambda: {p for label in ("level", "delta", "betweenness", "dependencies", "sources") for p in glob.glob(f"{spark.conf.get('spark.checkpoint.dir').replace('file:', '')}/caseweave-{label}-*")}
+    before = tables()
+    got = {r["id"]: r["centrality"] for r in gr.betweenness(spark.createDataFrame(sorted(edges), "a int, b int"), k=None, at_once=7).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(20)) and len(tables() - before) == 1
+
+
+def test_scores_take_centrality_from_all_persons(spark, monkeypatch):
+    """Eight sources were sampled; here a path of twelve persons, of whom each is a source."""
+    from bindings import network
+    seen = {}
+    edges = spark.createDataFrame([(f"P-{i:02d}", f"P-{i + 1:02d}", "same_address") for i in range(11)], "a string, b string, kind string")
+    monkeypatch.setattr(network, "graph", lambda s, d: gr.Graph(None, edges))
+    monkeypatch.setattr(network, "scores", lambda s, d, central: seen.update({r["person_key"]: r["centrality"] for r in central.collect()}))
+    network._central(spark, None)
+    want = [i * (11 - i) / 30 for i in range(12)]  # pairs parted by a person of the path, the largest being 30
+    assert all(abs(seen[i] - want[i]) < 1e-9 for i in range(12))
+
+
 def test_pairs_of_unregistered_persons_give_no_edge(spark):
     g = gr.build(spark.createDataFrame([(1, "x", None), (3, "y", None)], "person_key int, full_name string, home_cell string"),
                  spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "person_key int, case_id int"),
