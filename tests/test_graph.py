@@ -4,6 +4,7 @@ import glob
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,65 @@ def test_ego_reads_the_edge_table_without_laying_it_out(spark, monkeypatch):
     assert {r["id"] for r in gr.ego(twice, "P-2", 1).nodes.collect()} == {"P-1", "P-2", "P-3", "C-3"}
 
 
+def test_louvain_of_the_parts_goes_on_while_gains_are_small(spark, monkeypatch):
+    """A least gain of 0.005 ended the rounds of a random graph early; the operator's own is 1e-7."""
+    from bindings import network
+    with monkeypatch.context() as seen:
+        seen.setattr(network.cm, "louvain", lambda edges, **given: given)
+        seen.setattr(network, "part_graph", lambda s, d: gr.Graph(None, None))
+        assert network._louvain(spark, None) == {}
+    assert cm.louvain.__defaults__[-1] <= 1e-7
+    rng = random.Random(11)
+    pairs = sorted({tuple(sorted(rng.sample(range(400), 2))) for _ in range(4000)})
+    edges = spark.createDataFrame(pairs, "a int, b int")
+    monkeypatch.setattr(network, "part_graph", lambda s, d: gr.Graph(None, edges))
+    comm = {r["id"]: r["community"] for r in network._louvain(spark, None).collect()}
+    degree = [sum(v in p for p in pairs) for v in range(400)]
+
+    def quality(of):
+        total = {}
+        for v, c in of.items():
+            total[c] = total.get(c, 0) + degree[v]
+        return sum(of[a] == of[b] for a, b in pairs) / len(pairs) - sum((t / 2 / len(pairs)) ** 2 for t in total.values())
+
+    near = {v: [] for v in range(400)}
+    for a, b in pairs:
+        near[a].append(b), near[b].append(a)
+    plain, total, moved = {v: v for v in near}, dict(enumerate(degree)), True
+    while moved:  # one level, node after node, until none gains
+        moved = False
+        for v in near:
+            total[plain[v]] -= degree[v]
+            gain = lambda c: sum(plain[u] == c for u in near[v]) - degree[v] * total[c] / 2 / len(pairs)  # noqa: B023, E731
+            best = max([plain[v], *sorted({plain[u] for u in near[v]})], key=lambda c: (gain(c), c == plain[v]))  # noqa: B023
+            if gain(best) > gain(plain[v]) + 1e-9:
+                plain[v], moved = best, True
+            total[plain[v]] += degree[v]
+    assert all(min(v for v in comm if comm[v] == c) == c for c in set(comm.values()))
+    assert quality(comm) > 0.97 * quality(plain)
+    assert abs(quality(comm) - cm.modularity(edges, spark.createDataFrame(list(comm.items()), "id int, community int"))) < 1e-9
+
+
+def test_louvain_parts_give_the_best_community_of_each_node(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 30
+    links = rng.integers(0, n, (120, 2))
+    w = rng.random(120) + 0.1
+    near = np.zeros((n, n))
+    for (a, b), x in zip(links, w):
+        near[a, b] += x
+        near[b, a] += x
+    k, comm = near.sum(1), rng.integers(0, 6, n).astype(np.int32)
+    src, dst = np.nonzero(near)
+    tot, m2 = np.bincount(comm, weights=k, minlength=n), k.sum()
+    node, to, better, inside = cm._offers(cm._layout(src.astype(np.int32), dst.astype(np.int32), near[src, dst]), comm, k, tot, m2)
+    assert abs(inside - sum(near[a, b] for a in range(n) for b in range(n) if a != b and comm[a] == comm[b])) < 1e-9
+    for v, c, good in zip(node, to, better):
+        gain = lambda x: sum(near[v, u] for u in range(n) if u != v and comm[u] == x) - k[v] * (tot[x] - (k[v] if x == comm[v] else 0)) / m2  # noqa: B023, E731
+        offers = {comm[u] for u in np.flatnonzero(near[v]) if u != v}
+        assert abs(gain(c) - max(map(gain, offers))) < 1e-9 and good == (max(map(gain, offers)) > gain(comm[v]) + 1e-12)
+
+
 def test_louvain_leaves_one_table(spark):
     edges = spark.createDataFrame([(b + i, b + j) for b in (0, 10, 20) for i in range(6) for j in range(i)] + [(0, 10), (10, 20)], "a int, b int")
     tables = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir").replace("file:", "") + "/caseweave-louvain-*"))
