@@ -4,6 +4,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseweave.operators import hierarchy as hi
 
@@ -180,6 +181,25 @@ def test_strongest_pairs_inside_a_cluster_give_its_confidence(spark):
     assert listed(linking._strongest_inside(df, members)) == want and len(want) == 4
 
 
+def test_crowded_cells_give_the_forest_of_all_scored_pairs(spark, monkeypatch):
+    """Scored as matrices, of whole and of split cells; some records have no vector, and no pair of numbers is joined."""
+    import datetime as dt
+
+    from caseweave.operators import dense_links, linkage as lk
+    rng = random.Random(3)
+    rows = [(i, "xy"[i % 2], dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(500)), 12 + rng.randrange(30) / 20, 75 + rng.randrange(30) / 20, rng.choice(["car", "auto", None]),
+             rng.choice(["cash", "gold"]), rng.choice(["night", "day"]), 1, [rng.random(), rng.random()] if i % 40 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "case_id long, crime_sub_head string, registered date, latitude double, longitude double, vehicle string, target string, "
+                                     "tod string, dow int, embedding array<double>")
+    forest = lambda pairs: sorted((r["a"], r["b"], round(r["d"], 9)) for r in hi.spanning_forest(pairs.where("score IS NOT NULL").select("a", "b", (1 - F.col("score")).alias("d"))).collect())
+    monkeypatch.setattr(dense_links, "MANY", 100)
+    monkeypatch.setattr(dense_links, "BLOCK", 16)
+    for threshold, most in ((None, 8192), (0.85, 20)):
+        want = forest(lk.score_pairs(lk.candidate_pairs(df, threshold=threshold or 0.0), df, threshold=threshold))
+        strongest = lk.strongest_pairs(df, threshold=threshold, dense_pairs=0, cell_rows=most)
+        assert forest(strongest) == want and len(want) > 100
+
+
 def test_series_of_the_given_tables_equal_recursion(spark):
     """All open cases of the smallest tables, block by block."""
     from bindings import linking
